@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.common import forget, scratch
+from wardline.llm.common import cut, forget, scratch
 
 #: The kinds in their order in a list of spans; those after `hex` are added to the base.
 KINDS = ("assign", "access", "hex", "pem", "github", "jwt")
@@ -97,7 +97,7 @@ class Ledger:
         self.add(versions, text)
         paths = versions.select(F.col(id_), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
         # Only blobs with findings are needed; the rest of the paths have none.
-        hits = self.entries().filter(F.size("findings") > 0)
+        hits = cut(self.entries().filter(F.size("findings") > 0), "hits")
         none = F.array().cast(FINDINGS)
         return paths.join(hits, "blob", "left").select(id_, "blob", F.coalesce("findings", none).alias("findings"))
 
