@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import chat_events, pii_feistel, quality_divergence, secret_ledger, source_mixing, warc_archive
+from wardline.llm import (
+    chat_events,
+    partenum_join,
+    pii_feistel,
+    quality_divergence,
+    secret_ledger,
+    source_mixing,
+    sp_viterbi,
+    subspace_dedup,
+    toxicity_ssk,
+    warc_archive,
+)
 from wardline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +28,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.secrets(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum_join.link(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive.archived(table(spark, sf_dir, "pages"))
 
@@ -25,15 +40,33 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_feistel.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_divergence.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity_ssk.fit(toxicity_ssk.training(docs, table(spark, sf_dir, "labels")))
+    return toxicity_ssk.score(docs, machine)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = source_mixing.plan(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+#: The model file that sp_viterbi reads, unless the caller names another.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = MODEL) -> DataFrame:
+    return sp_viterbi.digests(table(spark, sf_dir, "documents"), model_path)
+
+
 #: Conversation -1 says the template's own control strings.
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
@@ -47,7 +80,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_secret_scans, op3_warc, op4_pii, op6_quality_rules, op8_mixing, op10_chat)
+    for f in (op1_secret_scans, op2_ngram_jaccard, op3_warc, op4_pii, op5_embedding_dedup, op6_quality_rules, op7_toxicity, op8_mixing, op9_sentencepiece, op10_chat)
 }
 
 SQL: dict[str, str] = {
