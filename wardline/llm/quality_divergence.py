@@ -108,3 +108,13 @@ def judge(docs: DataFrame, text: str = "text", max_class: float = 0.21, max_word
         F.when(long_, F.col("class_jsd")).alias("class_jsd"),
         F.when(long_, F.col("word_jsd")).alias("word_jsd"),
     )
+
+
+def accepted(docs: DataFrame, text: str = "text", **limits: float) -> DataFrame:
+    """The rows of docs that judge keeps; columns stay.
+
+    A filter right on judge's result would be pushed below it, with all its figures written out where they are
+    used, over and over; it isn't pushed below an explode.
+    """
+    judged = judge(docs.select(F.struct("*").alias("_row"), F.col(f"`{text}`").alias("_judged")), "_judged", **limits)
+    return judged.select("_row", F.explode(F.array("kept")).alias("_verdict")).filter("_verdict").select("_row.*")

@@ -38,6 +38,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wardline.llm.common import worker_cache
 
@@ -328,7 +329,7 @@ def _model(data: bytes) -> tuple[Model, dict[str, bytes]]:
 def _with(df: DataFrame, name: str, kind: str, out: pa.DataType, make: Any) -> DataFrame:
     """df with a column made of each batch."""
     kept = [c for c in df.columns if c != name]
-    schema = df.select(*[f"`{c}`" for c in kept]).schema.add(name, kind)
+    schema = df.select(*[F.col(f"`{c}`") for c in kept], F.lit(None).cast(kind).alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
