@@ -13,8 +13,9 @@ before any pair is made. Parts that are empty give signatures only in sets with
 Sets of equal shingles are one class, merged before anything else. Signatures are dealt out by range of
 (signature, class), which spreads frequent ones over tasks. Candidates come in rounds: each class against the
 least class it shares a signature with; then each member of a signature's group against the group's least;
-then whatever pairs of such a group still lie in different components. Groups of near copies fall together in
-the first rounds, so that the last has what is left: sets that share rare parts yet aren't similar. All
+then whatever pairs of such a group still lie in different components and whose sketches (parities of hash
+buckets, which differ in no more bits than the sets in elements) allow it. Groups of near copies fall together
+in the first rounds, so that the last has what is left: sets that share rare parts yet aren't similar. All
 candidates are checked on the whole sets; no group is capped.
 
 A class is known by 64 bits of a digest of its set.
@@ -107,8 +108,18 @@ def bands(size: int) -> list[int]:
     return [own, own + 1] if 4 * size // 3 >= 1 << (own + 1) else [own]
 
 
+#: Bits of a set's sketch, in longs: the parity of the elements in each of its buckets.
+GAUGE = [f"g{k}" for k in range(8)]
+
+
+def sketch(s: np.ndarray) -> list[int]:
+    """Two sets differ in as many elements as their sketches in bits, or more."""
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (64 * len(GAUGE) - 1), minlength=64 * len(GAUGE)) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
+
+
 def profiles(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, c (the class; null if empty), n_shingles, need0 and need1, sigs.
+    """doc_id, c (the class; null if empty), n_shingles, need0 and need1, sigs, the sketch.
 
     need: the bands of even and odd number; m - k, how many signatures are common at least; 0: unknown, take all.
     A task lists a class's signatures once.
@@ -117,12 +128,13 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = worker_cache(("words", SEED), Words), set()
         for batch in batches:
-            cs, sizes, need, rows, ends = [], [], ([], []), [], [0]
+            cs, sizes, need, rows, ends, gauge = [], [], ([], []), [], [0], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 s = shingles(text, n, held)
                 c = xxhash.xxh3_64_intdigest(s.tobytes(), SEED) if len(s) else None
                 cs.append(None if c is None else c - (1 << 64) if c >> 63 else c)
                 sizes.append(len(s))
+                gauge.append(sketch(s))
                 needs = [0, 0]
                 fresh = c is not None and c not in seen
                 for band in bands(len(s)) if fresh else ():
@@ -136,11 +148,12 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
             flat = np.concatenate(rows).view(np.int64) if rows else np.empty(0, np.int64)
             sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(need[0], pa.int64()), pa.array(need[1], pa.int64()), sigs],
-                ["doc_id", "c", "n_shingles", "need0", "need1", "sigs"],
+                [batch.column(0), pa.array(cs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(need[0], pa.int64()), pa.array(need[1], pa.int64()), sigs, *[pa.array(x, pa.int64()) for x in (zip(*gauge) if gauge else [()] * len(GAUGE))]],
+                ["doc_id", "c", "n_shingles", "need0", "need1", "sigs", *GAUGE],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, c long, n_shingles long, need0 long, need1 long, sigs array<long>")
+    schema = "doc_id long, c long, n_shingles long, need0 long, need1 long, sigs array<long>, " + ", ".join(f"{g} long" for g in GAUGE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +242,7 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
         raise ValueError("the signatures hold for 75 percent or more")
     found = cut(profiles(docs, n), "profiles")
     able = found.filter("c IS NOT NULL")
-    classes = cut(able.groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("need0").alias("need0"), F.max("need1").alias("need1")), "classes")
+    classes = cut(able.groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("need0").alias("need0"), F.max("need1").alias("need1"), *[F.max(g).alias(g) for g in GAUGE]), "classes")
     first = candidates(found, classes)
     some = first.select("c").distinct()
     sets = cut(_sets(docs, classes.join(some, "c").select("rep", "c"), n), "sets")
@@ -257,8 +270,11 @@ def link(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
             pairs = pairs.filter(F.col("apart") & fits("n", "m"))
             pairs = pairs.groupBy("b").agg(F.min("a").alias("a")) if k == 1 else pairs.select("a", "b").distinct()
         else:
-            x, y = near.alias("x"), near.alias("y")
-            pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.comp") != F.col("y.comp")) & fits("x.n", "y.n"))
+            gauged = near.join(classes.select("c", *GAUGE), "c")
+            x, y = gauged.alias("x"), gauged.alias("y")
+            bits = sum((F.bit_count(F.col(f"x.{g}").bitwiseXOR(F.col(f"y.{g}"))) for g in GAUGE), F.lit(0))
+            close = bits * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+            pairs = x.join(y, close & (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") < F.col("y.c")) & (F.col("x.comp") != F.col("y.comp")) & fits("x.n", "y.n"))
             pairs = pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
         links = cut(checked(pairs.select("a", "b"), sets, ten), "links")
         if not links.isEmpty():
