@@ -1,12 +1,13 @@
 import hashlib
 import os
+import random
 import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.llm import chat_events, entry, pii_feistel, quality_divergence, secret_ledger, source_mixing, sp_viterbi, warc_archive
+from wardline.llm import chat_events, entry, pii_feistel, quality_divergence, secret_ledger, source_mixing, sp_viterbi, toxicity_ssk, warc_archive
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, findings string, kept string"
@@ -153,6 +154,30 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_toxicity_learns_rarer_insults():
+    """Insults of another language, a stem with changing endings and rarer than the first's, are caught too; near copies' words aren't insults."""
+    draw = random.Random(3)
+    plain = ["".join(draw.choice("bdklmnprst") + draw.choice("aeiou") for _ in range(draw.choice((2, 3)))) for _ in range(1500)]
+    ends = ["er", "ung", "ver", "pf", "ein", "zu", "ber", "keit"]
+
+    def text(*more):
+        words = [*draw.choices(plain, k=60), *more]
+        draw.shuffle(words)
+        return " ".join(words)
+
+    frequent = lambda: text(*draw.sample(["wyxghost", "vuckyjaw", "qwizzfog"], 2))
+    rare = lambda: text(*("achlich" + e for e in draw.sample(ends, 2)))
+    train = [(frequent(), 1) for _ in range(150)] + [(rare(), 1) for _ in range(40)] + [(text(), 0) for _ in range(500)]
+    copied = ["xo" + w for w in plain[:40]]
+    train += [(" ".join([*copied, "trash" + str(k), draw.choice(plain)]) + " wyxghost", 1) for k in range(60)]
+    machine = toxicity_ssk.fit(train)
+    caught = lambda texts: sum(machine.score(m) >= 0.5 for m in toxicity_ssk.score_texts(machine, texts)) / len(texts)
+    assert caught([frequent() for _ in range(50)]) >= 0.9
+    assert caught([rare() for _ in range(50)]) >= 0.9
+    assert caught([text() for _ in range(50)]) <= 0.1
+    assert caught([text(w) for w in copied]) <= 0.1
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert secret_ledger.secrets(none).isEmpty() and quality_divergence.accepted(none).isEmpty()

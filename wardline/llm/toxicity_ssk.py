@@ -7,9 +7,11 @@ still shares most of them. A sentence scores as its worst token.
 
 Training: a bounded sample of labelled documents, half of them toxic if there are enough. A document's label
 says that one of its tokens at least is toxic, not which: those whose share among toxic documents is above
-that among clean ones by many standard errors stand for the label; all other tokens of clean documents are
-negative, and those that the machine of one round holds for insults are added in the next. Landmarks are
-those witnesses, common clean tokens and the hardest negatives. Kernel values at the landmarks, whitened,
+that among clean ones by four standard errors stand for the label, near copies counting once; those above by
+two stand for neither; all other tokens of clean documents are negative, and those that the machine of one
+round holds for insults are added in the next with a weight of their own. Landmarks are witnesses as
+different as can be, so that each language's have some, common clean tokens and the hardest negatives.
+Kernel values at the landmarks, whitened,
 are the features of a linear machine with squared hinge loss; a logistic scale fitted to the documents' own
 margins gives the score.
 
@@ -161,6 +163,35 @@ def _fit_scale(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 1e-3), float(w[1])
 
 
+def apart(bags: list[tuple[set[str], int]], alike: float = 0.5) -> list[tuple[set[str], int]]:
+    """One bag of each group of near copies of a label: Jaccard similarity of alike or more, found by eight least hashes."""
+    salts = np.random.default_rng(7).integers(1, 2**32, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    kept, buckets = [], {}
+    for bag, y in bags:
+        hashes = np.array([zlib.crc32(t.encode()) for t in bag] or [0], np.uint64)
+        least = ((hashes[None] * salts[:, None]) >> np.uint64(16) & np.uint64(0xFFFFFFFF)).min(1)
+        places = [buckets.setdefault((y, k, int(h)), []) for k, h in enumerate(least)]
+        if any(len(bag & kept[i][0]) >= alike * len(bag | kept[i][0]) for i in {i for p in places for i in p}):
+            continue
+        for p in places:
+            p.append(len(kept))
+        kept.append((bag, y))
+    return kept
+
+
+def spread(names: list[str], phi: np.ndarray, count: int) -> list[str]:
+    """The names, count at most, each the one that those before it stand for least (pivoted Cholesky)."""
+    left, rows, out = (phi * phi).sum(1), [], []
+    while len(out) < min(count, len(names)) and left.max() > 1e-6:
+        k = int(np.argmax(left))
+        row = phi @ phi[k] - sum((r * r[k] for r in rows), np.zeros(len(names)))
+        rows.append(row / math.sqrt(left[k]))
+        left = np.maximum(left - rows[-1] ** 2, 0)
+        left[k] = 0
+        out.append(names[k])
+    return out
+
+
 def fit(rows: list[tuple[str, int]], landmarks: int = 32, rounds: int = 4, negatives: int = 20000, sure: float = 4.0) -> Machine | None:
     """A machine from (text, label) rows; None without both labels.
 
@@ -168,7 +199,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = 32, rounds: int = 4, negat
     """
     table = alphabet()
     tokens = lambda text: set(map(sys.intern, re.sub(r"[^\w\s]|[\d_]", "", plain(text).lower()).split()))
-    bags = [(tokens(text), 1 if y else -1) for text, y in sorted(set(rows))]  # copies would vouch for each other
+    bags = apart([(tokens(text), 1 if y else -1) for text, y in sorted(set(rows))])  # copies would vouch for each other
     pos, neg = sum(y > 0 for _, y in bags), sum(y < 0 for _, y in bags)
     if not pos or not neg:
         return None
@@ -178,19 +209,19 @@ def fit(rows: list[tuple[str, int]], landmarks: int = 32, rounds: int = 4, negat
     # How many standard errors a token's share of toxic documents is above that of clean ones.
     share = lambda t: (inpos[t] + inneg[t] + 1) / (pos + neg + 1)
     tell = {t: (inpos[t] / pos - inneg[t] / neg) / math.sqrt(share(t) * (1 - share(t)) * (1 / pos + 1 / neg) + 1e-9) for t in inpos}
-    # Near copies vouch for each other too, but for less than what all toxic documents share.
-    sure = max(sure, 0.5 * max(tell.values()))
     order = sorted(tell, key=lambda t: (-tell[t], t))
     witnesses = [t for t in order if tell[t] >= sure] or order[:8]
-    seen = set(witnesses)
+    # What tells less, but more than chance, may be of a witness's family: it stands for neither label.
+    seen = {*witnesses, *(t for t in order if tell[t] >= 0.5 * sure)}
     clean = sorted(t for t in inneg if t not in seen)
     pool = sorted(clean, key=lambda t: (zlib.crc32(t.encode()), t))[:negatives]
-    marks = witnesses[: landmarks // 2]
-    marks += sorted((t for t in clean if len(t) >= 3), key=lambda t: (-inneg[t], t))[: landmarks - len(marks)]
+    marks = spread(witnesses, matrix(witnesses, table), landmarks)
+    marks += sorted((t for t in clean if len(t) >= 3), key=lambda t: (-inneg[t], t))[: landmarks // 2]
     lay = lambda names: codes(" ".join(names).encode(), table)
     weight = np.array([inpos[t] for t in witnesses], float)
     values_of = lambda names, w, b: np.concatenate([margins(lay(names[i : i + 20000]), w, b) for i in range(0, len(names), 20000)])
     weights, bias = np.zeros(27**3), 0.0
+    extra: Counter[str] = Counter()  # few of all clean tokens, those taken for insults would weigh next to nothing
     for k in range(rounds):
         phi = matrix(marks, table)
         values, vectors = np.linalg.eigh(phi @ phi.T)
@@ -200,10 +231,15 @@ def fit(rows: list[tuple[str, int]], landmarks: int = 32, rounds: int = 4, negat
         counts = np.array([inneg[t] for t in pool], float)
         x = np.vstack([place(witnesses), place(pool)]) if pool else place(witnesses)
         y = np.concatenate([np.ones(len(witnesses)), -np.ones(len(pool))])
-        w, bias = _fit_linear(x, y, np.concatenate([weight / weight.sum(), counts / max(1.0, counts.sum())]))
+        against = counts / max(1.0, counts.sum()) + np.array([extra[t] for t in pool])
+        w, bias = _fit_linear(x, y, np.concatenate([weight / weight.sum(), against]))
         weights = phi.T @ (white @ w)
         # Clean tokens that the machine so far holds for insults are learned next, the worst as landmarks too.
-        worst = clean and [clean[i] for i in np.argsort(-values_of(clean, weights, bias), kind="stable")[: negatives // 4]]
+        value = values_of(clean, weights, bias) if clean else np.zeros(0)
+        worst = [clean[i] for i in np.argsort(-value, kind="stable")[: negatives // 4]]
+        wrong = [clean[i] for i in np.flatnonzero(value > 0)]
+        total = sum(inneg[t] for t in wrong)
+        extra.update({t: inneg[t] / total for t in wrong})
         pool = sorted({*pool, *worst})
         marks += [t for t in worst if t not in set(marks)][:landmarks]
     machine = Machine(weights, bias, 1.0, 0.0, bias)
