@@ -92,6 +92,16 @@ def test_quality_counts_equal_brute_force(spark):
         assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
 
 
+def test_quality_rejects_by_common_words_alone(spark):
+    """Ordinary letters and spaces without function words fail; the same letters with function words pass."""
+    draw = random.Random(5)
+    junk = " ".join("".join(draw.choices("etaoinshrdlcu", k=5)) for _ in range(120))
+    prose = " ".join(f"{w} {('the', 'of', 'and', 'to', 'in', 'a')[k % 6]}" if k % 4 == 0 else w for k, w in enumerate(junk.split()))
+    bad, good = quality_divergence.judge(docs(spark, [junk, prose])).orderBy("doc_id").collect()
+    assert not bad.base_failed and bad.class_jsd <= 0.21 and not bad.kept
+    assert not good.base_failed and good.class_jsd <= 0.21 and good.kept
+
+
 def test_accepted_keeps_rows_and_columns(spark):
     df = docs(spark, QUALITY)
     kept = {r.doc_id for r in quality_divergence.judge(df.drop("kept")).filter("kept").select("doc_id").collect()}

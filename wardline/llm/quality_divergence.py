@@ -86,10 +86,11 @@ def divergences(df: DataFrame) -> DataFrame:
     return df.withColumn("class_jsd", F.least(*classes)).withColumn("word_jsd", F.least(*words_))
 
 
-def judge(docs: DataFrame, text: str = "text", max_class: float = 0.21, max_word: float = 0.45, min_words: int = 50) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", max_class: float = 0.21, max_word: float = 0.29, min_words: int = 50) -> DataFrame:
     """docs with the base counts, class_jsd, word_jsd, base_failed and kept.
 
-    A text of under min_words words is judged by the base alone; its distances are null.
+    A text of under min_words words is judged by the base alone; its distances are null. A text with none of the
+    common words is 0.3215 from the nearest reference, the German one; max_word is below that.
     """
     names = [c for c in docs.columns if c not in {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_jsd", "word_jsd", "base_failed", "kept"}]
     df = divergences(measure(docs, text))
