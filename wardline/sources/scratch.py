@@ -14,6 +14,10 @@ import wardline
 cloudpickle.register_pickle_by_value(wardline)
 
 
+#: Paths of this process under the shared folder that haven't been deleted.
+made: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Without that setting a temporary one, on a single machine only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,7 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made.add(path)
+    return path
 
 
 def forget(spark: SparkSession, *paths: str) -> None:
@@ -35,6 +41,7 @@ def forget(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        made.discard(path)
 
 
 class Store:
