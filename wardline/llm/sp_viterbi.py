@@ -3,7 +3,7 @@
 The search runs over character boundaries. A boundary keeps the last piece of its best path; a piece that is
 still to come starts within the longest piece's length of the end, so once the backpointer paths of all
 boundaries in that window meet in one, everything before it is final: its ids are committed and its states
-dropped. Memory follows the window, not the text.
+dropped. A text goes through one stream in portions; what the search holds follows the window, not the text.
 
 Two kinds of model, read from the model file itself:
 - unigram: the best path has the highest sum of scores, as Viterbi's search has it;
@@ -11,9 +11,10 @@ Two kinds of model, read from the model file itself:
   stable, that is, merging the two pieces' characters alone gives those two pieces again. Paths of stable
   pairs are what the merges yield, so the same search gives the same ids.
 
-Texts are first cut where no piece of the vocabulary can reach across (between classes of characters that
-no piece joins): there all paths meet by construction. Short stretches between cuts recur, so a worker keeps
-the ids of a bounded number of them; long ones go through the search each time.
+All paths also meet where no piece of the vocabulary can reach across (between classes of characters that no
+piece joins): a boundary there is committed as soon as the next character shows it. The stretches between such
+boundaries recur, so a worker keeps the ids of a bounded number of short ones; the search itself runs on a
+stretch that is new or long, and commits within it as its window allows.
 
 The driver reads the model file, half a megabyte, and sends it along. Encoding is a map without a shuffle.
 Normalisation covers the identity rule with the dummy prefix and white space options; other rules raise.
@@ -21,7 +22,7 @@ Normalisation covers the identity rule with the dummy prefix and white space opt
 Defined results: null and empty texts have no ids; ids are as the file numbers them, unknown characters
 become bytes where the model has them and its unknown id otherwise; U+2581 in a text decodes as a space, as
 it is the mark for spaces; an empty table gives an empty result; columns of the input stay, but one named
-like the result is replaced.
+like the result is replaced; very long texts are encoded whole, in portions; repeated rows have equal ids.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 #: Cached stretches have this many characters at most; a worker holds this many.
 SHORT, HELD = 48, 400_000
+#: A text goes into its stream in portions of so many characters.
+PORTION = 1 << 14
 
 
 def fields(data: bytes) -> Iterator[tuple[int, Any]]:
@@ -106,7 +109,7 @@ class Model:
         self.surface = trainer.get(44, " ⁇ ".encode()).decode()
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
-        self.longest = max(map(len, self.ids), default=1)
+        self.longest = self.window = max(map(len, self.ids), default=1)
         self.lowest = min((self.scores[i] for i in self.ids.values()), default=0.0)
         self.halves: dict[str, tuple[str, str]] = {}  # the two parts that a piece's last merge joins
         self.score = {p: self.scores[i] for p, i in self.ids.items()}
@@ -211,7 +214,7 @@ class Stream:
 
     def __init__(self, model: Model):
         self.model, self.window = model, model.longest
-        self.text, self.open, self.gap, self.peak = "", -1, False, 0
+        self.text, self.open, self.gap, self.peak, self.meetings = "", -1, False, 0, 0
         self.last, self.best = [-1], [0.0]
 
     def feed(self, text: str) -> list[int]:
@@ -222,7 +225,9 @@ class Stream:
             self._advance()
             self.peak = max(self.peak, len(self.last))
             if len(self.last) > step:
-                out += self._commit(self._meeting())
+                upto = self._meeting()
+                self.meetings += upto > 0
+                out += self._commit(upto)
         return out
 
     def finish(self) -> list[int]:
@@ -288,38 +293,110 @@ class Stream:
         return out
 
 
-def encode(model: Model, text: str, held: dict[str, bytes] | None = None) -> bytes:
+class Encoder:
+    """One text at a time, in portions: ids come out as they are committed.
+
+    commits counts boundaries that were committed before the text's end, meetings those that the search found
+    in its window; peak is the most characters and states held at once.
+    """
+
+    def __init__(self, model: Model, held: dict[Any, bytes]):
+        self.model, self.held = model, held
+        self.by_stretch = model.stretches is not None and (model.bpe or bool(model.bytes))
+        # rest: the last stretch, which may go on; context: the last character of one that is in the search already.
+        self.stream, self.rest, self.context = Stream(model), "", ""
+        self.commits = self.meetings = self.peak = 0
+
+    def feed(self, portion: str) -> bytes:
+        """Ids that are final after a portion of normalised text."""
+        if not self.by_stretch:
+            return self._searched(portion)
+        out = b""
+        if self.context:
+            take = self.model.stretches.match(self.context + portion).end() - 1
+            out = self._searched(portion[:take])
+            if take == len(portion):
+                self.context = portion[-1:] or self.context
+                return out
+            out += self._ended()
+            self.context, portion = "", portion[take:]
+        text = self.rest + portion
+        cut = text.rfind(MARK)
+        while cut > 0 and text[cut - 1] == MARK:
+            cut -= 1
+        cut = max(0, cut)
+        out += self._stretches(text[:cut])
+        self.rest = text[cut:]
+        if len(self.rest) > 4 * self.model.window:
+            begin = 0
+            for m in self.model.stretches.finditer(self.rest):
+                begin = m.start()
+            out += self._stretches(self.rest[:begin])
+            self.rest = self.rest[begin:]
+        if len(self.rest) > 4 * self.model.window:
+            out += self._searched(self.rest)
+            self.context, self.rest = self.rest[-1], ""
+        self.peak = max(self.peak, len(self.rest))
+        return out
+
+    def _stretches(self, text: str) -> bytes:
+        model, held, out = self.model, self.held, []
+        if not text:
+            return b""
+        if text[0] == MARK and MARK + MARK not in text:
+            words = text.split(MARK)[1:]
+            self.commits += len(words)
+            for word in words:
+                ids = held.get(word)
+                if ids is None:
+                    ids = b"".join([self._stretch(s) for s in model.stretches.findall(MARK + word)])
+                    if len(word) <= SHORT:
+                        if len(held) >= HELD:
+                            held.clear()
+                        held[word] = ids
+                out.append(ids)
+            return b"".join(out)
+        stretches = model.stretches.findall(text)
+        self.commits += len(stretches)
+        return b"".join([self._stretch(s) for s in stretches])
+
+    def _stretch(self, s: str) -> bytes:
+        ids = self.held.get((s,))
+        if ids is None:
+            ids = self._searched(s) + self._ended()
+            if len(s) <= SHORT:
+                if len(self.held) >= HELD:
+                    self.held.clear()
+                self.held[(s,)] = ids
+        return ids
+
+    def _searched(self, text: str) -> bytes:
+        before = self.stream.meetings
+        ids = array("i", self.stream.feed(text)).tobytes()
+        self.meetings += self.stream.meetings - before
+        self.commits += self.stream.meetings - before
+        self.peak = max(self.peak, self.stream.peak)
+        return ids
+
+    def _ended(self) -> bytes:
+        return array("i", self.stream.finish()).tobytes()
+
+    def finish(self) -> bytes:
+        if self.context or not self.by_stretch:
+            self.context = ""
+            return self._ended()
+        rest, self.rest = self.rest, ""
+        return self._stretches(rest)
+
+
+def encode(model: Model, text: str, held: dict[Any, bytes] | None = None, encoder: Encoder | None = None) -> bytes:
     """The ids of a text as little-endian 32-bit integers. held: ids of stretches, and of whole words under the word."""
+    encoder = encoder or Encoder(model, {} if held is None else held)
     text = model.normalise(text)
-    held = {} if held is None else held
-    if not model.stretches or not (model.bpe or model.bytes):
-        stream = Stream(model)
-        return array("i", stream.feed(text) + stream.finish()).tobytes()
-    if not text.startswith(MARK) or MARK + MARK in text:
-        return b"".join([_stretch(model, s, held) for s in model.stretches.findall(text)])
-    out = []
-    for word in text.split(MARK)[1:]:
-        ids = held.get(word)
-        if ids is None:
-            ids = b"".join([_stretch(model, s, held) for s in model.stretches.findall(MARK + word)])
-            if len(word) <= SHORT:
-                if len(held) >= HELD:
-                    held.clear()
-                held[word] = ids
-        out.append(ids)
-    return b"".join(out)
-
-
-def _stretch(model: Model, s: str, held: dict[str, bytes]) -> bytes:
-    ids = held.get((s,))
-    if ids is None:
-        stream = Stream(model)
-        ids = array("i", stream.feed(s) + stream.finish()).tobytes()
-        if len(s) <= SHORT:
-            if len(held) >= HELD:
-                held.clear()
-            held[(s,)] = ids
-    return ids
+    if len(text) <= PORTION:
+        return encoder.feed(text) + encoder.finish()
+    out = [encoder.feed(text[at : at + PORTION]) for at in range(0, len(text), PORTION)]
+    return b"".join(out) + encoder.finish()
 
 
 def _model(data: bytes) -> tuple[Model, dict[str, bytes]]:
