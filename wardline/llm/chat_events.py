@@ -4,16 +4,18 @@ A log has rows (conv_id, seq, turn, kind, role, text):
 - `message` sets a turn's whole text; `delta` appends to it in the order of seq;
 - `edit` replaces what the turn says so far; deltas after it append to the edit;
 - `regenerate` throws away what the turn says so far; what follows is the new answer.
-Each turn's last role counts. Turns are folded one by one (conversation and turn are the shuffle key, so a
-long conversation is spread out), then each conversation is rendered from its folded turns.
+Each turn's last role counts. Logs are partitioned by conversation, sorted by seq and folded turn by turn; events
+that a later one replaces go before texts are gathered. A conversation comes out as one text, so its live
+turns meet in one row and one task: conversations are the unit that is spread out, and one alone can't be.
 
 The template marks a turn as `<|im_start|>role\\ntext<|im_end|>\\n`. Inside roles and texts a backslash is
 doubled and `<|` becomes `<\\|`, so that control strings never appear there; in roles a line feed becomes
 `<\\.`. Both are undone exactly by `unescape`.
 
-Defined results: null roles and texts are empty; null conversation ids are one conversation; ties in seq or
-turn are ordered by role, then text; a repeated row of kind `message` is one more turn when rows come
-through `messages`, which numbers them; an empty table has no conversation.
+Defined results: null roles and texts are empty; null conversation ids are one conversation; a null turn comes
+first; a null kind is a delta; ties in seq are ordered by kind, role, then text; rows that repeat a turn are
+turns of their own when they come through `messages` or `streamed`, which number them by turn, role and text;
+very long texts are rendered whole; an empty table has no conversation; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,11 +50,31 @@ def messages(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", at.alias("seq"), at.alias("turn"), F.lit("message").alias("kind"), "role", "text")
 
 
+def streamed(rows: DataFrame, piece: int = 400) -> DataFrame:
+    """Rows as the log of a service that streams: what was said in the end is in it, among what was replaced.
+
+    An assistant's turn is a first draft in deltas, a regenerate, and the answer in deltas of `piece` characters.
+    Any other turn is a message that an edit replaces, with a delta for the rest of the text.
+    """
+    rows = messages(rows)
+    n, text = F.length("text"), F.col("text")
+    event = lambda kind, said: F.struct(F.lit(kind).alias("kind"), said.alias("text"))
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)).cast("int"), F.lit(piece)), lambda i: event("delta", F.substring(text, i + 1, F.lit(piece))))
+    draft = F.array(event("delta", F.substring(text, F.lit(1), F.least(n, F.lit(piece)))), event("delta", F.lit(" no")), event("regenerate", F.lit("")))
+    half = F.floor(n / 2).cast("int")
+    edited = F.array(event("message", F.concat(F.lit("draft "), F.substring(text, F.lit(1), F.least(half, F.lit(piece))))), event("edit", F.substring(text, F.lit(1), half)), event("delta", F.substring(text, half + 1, n)))
+    events = F.when(F.col("role") == "assistant", F.concat(draft, pieces)).otherwise(edited)
+    log = rows.select("conv_id", "turn", "role", F.posexplode(events).alias("at", "event"))
+    # A turn's events follow each other; turns have room for all that a text can hold.
+    seq = F.col("turn") * F.lit(1 << 31) + F.col("at")
+    return log.select("conv_id", seq.alias("seq"), "turn", "event.kind", "role", "event.text")
+
+
 def fold(log: DataFrame) -> DataFrame:
     """The final message of each turn: conv_id, turn, role, text."""
-    by = W.partitionBy("conv_id", "turn").orderBy("seq", "kind", "role", "text")
     log = log.select("conv_id", "turn", "seq", F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     # Nothing before the last event that isn't a delta matters, so it goes before texts are gathered.
+    by = W.partitionBy("conv_id", "turn").orderBy("seq", "kind", "role", "text")
     fresh = F.sum(F.when(F.col("kind") == "delta", 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, 0))
     last = F.max("_age").over(W.partitionBy("conv_id", "turn"))
     live = log.withColumn("_age", fresh).withColumn("_last", last).filter("_age = _last")
