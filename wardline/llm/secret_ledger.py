@@ -12,8 +12,8 @@ A scan that is lost half way leaves no entry: a part of the ledger counts once i
 an entry written twice (two scans at once) is merged when read.
 
 Defined results: null text is the empty text; a path's every row is a version and gets a row; null ids stay;
-an empty table gives an empty result. `scan` returns id, blob and findings; other columns aren't carried,
-so their names can't clash.
+very long texts are scanned whole, one at a time; an empty table gives an empty result. `scan` returns id,
+blob and findings; other columns aren't carried, so their names can't clash. `redact` keeps all columns.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.common import cut, forget, scratch
+from wardline.llm.common import nested, unnested
+from wardline.sources.scratch import Store, forget, scratch
 
 #: The kinds in their order in a list of spans; those after `hex` are added to the base.
 KINDS = ("assign", "access", "hex", "pem", "github", "jwt")
@@ -95,9 +96,9 @@ class Ledger:
     def scan(self, versions: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
         """id, blob, findings: a row for each row of versions, with every finding of its blob."""
         self.add(versions, text)
-        paths = versions.select(F.col(id_), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
+        paths = versions.select(F.col(id_).alias(id_), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
         # Only blobs with findings are needed; the rest of the paths have none.
-        hits = cut(self.entries().filter(F.size("findings") > 0), "hits")
+        hits = self.entries().filter(F.size("findings") > 0)
         none = F.array().cast(FINDINGS)
         return paths.join(hits, "blob", "left").select(id_, "blob", F.coalesce("findings", none).alias("findings"))
 
@@ -113,30 +114,37 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, ledger: Ledger, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with every span of the ledger's findings replaced by mark; overlapping spans are merged. Columns stay."""
     ledger.add(docs, text)
-    hits = ledger.entries().filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
-    marked = docs.withColumn("_key", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(hits, F.col("_key") == F.col("_blob"), "left")
+    hits = ledger.entries().filter(F.size("findings") > 0)
+    t = F.col("row").getField(text)
+    marked = nested(docs, blob=F.sha2(F.coalesce(t, F.lit("")), 256)).join(hits, "blob", "left")
     # Spans in order; each starts where no earlier one reaches.
-    spans = F.transform("_findings", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b")))
+    spans = F.transform("findings", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b")))
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["a"] >= acc["at"]
-        kept = F.substring(F.col(f"`{text}`"), (acc["at"] + 1).cast("int"), F.greatest(s["a"] - acc["at"], F.lit(0)).cast("int"))
+        kept = F.substring(t, (acc["at"] + 1).cast("int"), F.greatest(s["a"] - acc["at"], F.lit(0)).cast("int"))
         return F.struct(
             F.when(fresh, F.concat(acc["out"], F.array(kept, F.lit(mark)))).otherwise(acc["out"]).alias("out"),
             F.greatest(acc["at"], s["b"]).alias("at"),
         )
 
     def end(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(F.col(f"`{text}`"), (acc["at"] + 1).cast("int"), F.length(F.col(f"`{text}`"))))
+        return F.concat(F.array_join(acc["out"], ""), F.substring(t, (acc["at"] + 1).cast("int"), F.length(t)))
 
-    clean = F.when(F.col("_findings").isNull(), F.col(f"`{text}`")).otherwise(F.aggregate(spans, zero, step, end))
-    return marked.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.when(F.col("findings").isNull(), t).otherwise(F.aggregate(spans, zero, step, end))
+    return unnested(marked, docs.columns, **{text: clean})
 
 
-def secrets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    rows = Ledger(docs.sparkSession).scan(docs)
+def secrets(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans. Without a ledger a new one is used, and dropped."""
+    store = Store(docs.sparkSession)
+    own = ledger or Ledger(docs.sparkSession)
+    rows = own.scan(docs)
     count = lambda kind: F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("findings", lambda s: s["kind"].isin("assign", "access", "hex"))
-    return rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+    out = rows.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+    if ledger is None:
+        out = store.cut(out, "secrets")
+        own.drop()
+    return out
