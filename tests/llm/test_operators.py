@@ -1,13 +1,17 @@
+import datetime
 import hashlib
+import math
 import os
 import random
 import re
+import struct
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.llm import chat_events, entry, pii_feistel, quality_divergence, secret_ledger, source_mixing, sp_viterbi, toxicity_ssk, warc_archive
+from wardline.llm import chat_events, entry, pii_feistel, quality_divergence, secret_ledger, source_mixing, sp_viterbi, subspace_dedup, toxicity_ssk, warc_archive
+from wardline.sources.scratch import Store
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, findings string, kept string"
@@ -43,36 +47,158 @@ def test_ledger_scans_a_blob_once(spark):
     assert rows.count() == rows.select("blob").distinct().count() == 3
 
 
+def test_ledger_goes_on_from_what_is_there(spark):
+    """A second version of the rules scans each blob once more; entries of a lost half-run that were committed aren't scanned again."""
+    first = secret_ledger.Ledger(spark)
+    first.scan(docs(spark, ["secret:abcdef", "x"])).count()
+    second = secret_ledger.Ledger(spark, first.path, "base-2")
+    assert second.scan(docs(spark, ["secret:abcdef"])).count() == 1
+    rows = spark.read.parquet(first.path)
+    assert sorted((r.rule_version, r["count"]) for r in rows.groupBy("rule_version").count().collect()) == [("base-1+added-1", 2), ("base-2", 1)]
+    # Marked entries show that the scan takes findings from the ledger.
+    spans = [{"kind": "hex", "start": 5, "end": 6}]
+    blob = hashlib.sha256(b"kept").hexdigest()
+    spark.createDataFrame([(blob, "base-2", spans)], second.schema).write.mode("append").parquet(first.path)
+    spark.createDataFrame([(blob, "base-2", spans)], second.schema).write.mode("append").parquet(first.path)
+    got = {r.doc_id: [tuple(f) for f in r.findings] for r in second.scan(docs(spark, ["kept", "other"])).collect()}
+    assert got == {0: [("hex", 5, 6)], 1: []}
+    second.drop()
+
+
+def test_added_kinds_and_null_ids(spark):
+    texts = ["-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "Z" * 36, "eyJ" + "a" * 8 + ".eyJ" + "b" * 8 + "." + "c" * 8, "nothing"]
+    rows = spark.createDataFrame([(None, x, "b", "f") for x in texts], "doc_id long, text string, blob string, findings string")
+    got = sorted(r.spans for r in secret_ledger.secrets(rows).collect())
+    assert got == sorted(["pem:0:31", "github:0:40", "jwt:0:32", ""])
+
+
 def test_redact_keeps_columns(spark):
     out = secret_ledger.redact(docs(spark, ["a secret:abcdef b", None, "é"]), secret_ledger.Ledger(spark))
-    assert out.columns == ["doc_id", "text", "source", "findings", "kept"]
+    assert out.columns == ["doc_id", "text", "source", "findings", "kept"] and {r.findings for r in out.collect()} == {"f"}
     assert [r.text for r in out.orderBy("doc_id").collect()] == ["a [secret] b", None, "é"]
 
 
+def warc_records(data):
+    """The records in WARC bytes, read by plain loops: fields of the header, HTTP head, payload."""
+    out = []
+    while data:
+        head, data = data.split(b"\r\n\r\n", 1)
+        lines = head.decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines[1:])
+        size = int(fields["Content-Length"])
+        block, data = data[:size], data[size:]
+        assert lines[0] == "WARC/1.1" and data.startswith(b"\r\n\r\n")
+        http, payload = block.split(b"\r\n\r\n", 1)
+        out.append((fields, http.decode(), payload))
+        data = data[4:]
+    return out
+
+
 def test_warc_round_trip(spark):
-    html = [None, "", "é" * 700, "é" * 700, "x" * 999, "x" * 999, "y" * 1000]
-    pages = spark.createDataFrame([(k, f"http://h/{k}", x, "r") for k, x in enumerate(html)], "page_id long, url string, html string, record_type string")
+    html = [None, "", "é" * 700, "é" * 700, "x" * 999, "x" * 999, "y" * 1000, "a\r\n\r\nb" * 300, "z" * 300000]
+    rows = [(k, f"http://h/{k}\r\nX: y", x, "r") for k, x in enumerate(html)] + [(None, None, "y" * 1000, "r"), (6, "http://h/again", "y" * 1000, "r")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string")
     archive = warc_archive.Archive(spark).write(pages)
-    assert {r.page_id: bytes(r.payload).decode() for r in archive.read().collect()} == {k: x or "" for k, x in enumerate(html)}
-    rows = {r.page_id: r for r in warc_archive.report(archive.read(), pages).collect()}
-    assert [k for k, r in rows.items() if r.record_type == "revisit"] == [2] and rows[2].refers_to == 3
-    assert all(r.payload_digest == hashlib.sha1((html[k] or "").encode()).hexdigest() for k, r in rows.items())
+    read = archive.read().collect()
+    assert sorted((str(r.page_id), bytes(r.payload).decode()) for r in read) == sorted((str(k), x or "") for k, _, x, _ in rows)
+    ids = set()
+    for r in read:
+        [(fields, http, payload)] = warc_records(bytes(r.record))
+        whole = bytes(r.payload)
+        assert fields["WARC-Payload-Digest"] == "sha1:" + hashlib.sha1(whole).hexdigest() and "X" not in fields
+        assert payload == (b"" if fields["WARC-Type"] == "revisit" else whole) and f"Content-Length: {len(whole)}" in http
+        ids.add(fields["WARC-Record-ID"])
+    assert len(ids) == len(rows)
     archive.drop()
+    out = sorted((str(r.page_id), r.record_type, str(r.refers_to), r.payload_bytes) for r in warc_archive.archived(pages).collect())
+    assert [x for x in out if x[1] == "revisit"] == [("2", "revisit", "3", 1400), ("None", "revisit", "6", 1000)]
+    assert warc_archive.archived(pages.limit(0)).isEmpty()
+
+
+KEY = "a test's key"
+
+
+def plain_feistel(value, a, b, tag):
+    left, right = divmod(value, b)
+    for i in range(1, pii_feistel.ROUNDS + 1):
+        other = right if i % 2 else left
+        said = "|".join([KEY, f"{tag}:{a}:{b}:{i}", str(other), KEY])
+        f = int(hashlib.sha256(said.encode()).hexdigest()[:15], 16)
+        left, right = ((left + f) % a, right) if i % 2 else (left, (right + f) % b)
+    return left * b + right
+
+
+def luhn(d):
+    return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def test_pseudonyms_equal_a_plain_network(spark):
+    """Cards, other runs of digits and dates against the network and its walks in plain Python."""
+    draw = random.Random(4)
+    cards = []
+    while len(cards) < 40:
+        d = "".join(draw.choices("0123456789", k=16))
+        cards += [d] if luhn(d) else []
+    runs = [d for d in ("".join(draw.choices("0123456789", k=15)) for _ in range(60)) if not luhn(d)]
+    days = [f"{draw.randint(1, 12):02}/{draw.randint(13, 28)}/{draw.randint(1950, 2020)}" for _ in range(40)]
+    out = pii_feistel.pseudonymise(docs(spark, cards + runs + days), KEY).orderBy("doc_id").collect()
+    got = [r.text for r in out]
+
+    def card(d):
+        new = f"{plain_feistel(int(d[:-1]), 10**8, 10**7, 'card'):015}"
+        return new + next(c for c in "0123456789" if luhn(new + c))
+
+    def run(d):
+        new = int(d)
+        while True:
+            new = plain_feistel(new, 10**8, 10**7, "number:card")
+            if not luhn(f"{new:015}"):
+                return f"{new:015}"
+
+    def day(x):
+        first = datetime.date(1900, 1, 1)
+        month, of_month, year = map(int, x.split("/"))
+        new = (datetime.date(year, month, of_month) - first).days
+        while True:
+            new = plain_feistel(new, *pii_feistel.DAYS, "date:month")
+            if (first + datetime.timedelta(new)).day > 12:
+                return (first + datetime.timedelta(new)).strftime("%m/%d/%Y")
+
+    assert got == [*map(card, cards), *map(run, runs), *map(day, days)]
 
 
 def test_pseudonyms_are_linked_and_valid(spark):
-    text = "card 4111 1111 1111 1111 on 1987-03-04, ssn 123-45-6789, ip 10.0.0.1, call (212) 555-0123, a.b@c.de"
-    rows = pii_feistel.pseudonymise(docs(spark, [text, text + " end", None, "", "none"])).orderBy("doc_id").collect()
-    assert rows[1].text == rows[0].text + " end" and rows[0].text != text
-    card = [int(c) for c in re.sub(r"\D", "", re.search(r"card ([\d ]+) on", rows[0].text)[1])]
-    assert sum(d if k % 2 else sum(divmod(2 * d, 10)) for k, d in enumerate(card)) % 10 == 0
-    assert [r.text for r in rows[2:]] == [None, "", "none"] and rows[0].n_card == rows[0].n_date == 1
+    iban = "GB82 WEST 1234 5698 7654 32"
+    text = f"card 4111 1111 1111 1111 on 1987-03-04, ssn 123-45-6789, ip 10.0.0.1, call (212) 555-0123, a.b@c.de. born 12/25/1987, {iban} end"
+    rows = pii_feistel.pseudonymise(docs(spark, [text, text + " end", None, "", "none"]), KEY).orderBy("doc_id").collect()
+    new = rows[0].text
+    assert rows[1].text == new + " end"
+    for x in ("4111", "1987-03-04", "123-45-6789", "10.0.0.1", "555-0123", "a.b@", "12/25/1987", "1234 5698"):
+        assert x not in new, x
+    assert luhn(re.sub(r"\D", "", re.search(r"card ([\d ]+) on", new)[1])) and "@example.invalid. born" in new
+    found = re.search(r"GB\d\d WEST [\d ]+(?= end)", new)[0].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in found[4:] + found[:4])) % 97 == 1
+    assert [r.text for r in rows[2:]] == [None, "", "none"] and rows[0].n_card == rows[0].n_iban == 1 and rows[0].n_date == 2
+    with pytest.raises(ValueError):
+        pii_feistel.pseudonymise(docs(spark, []), "")
+
+
+def test_long_texts_and_clashing_names_are_no_matter(spark):
+    texts = ["x a@b" + ".c" * 500_000, "a." * 300_000 + "@", "1" * 400_000, "1 " * 200_000, "12.3." * 100_000, "AB12 " * 100_000]
+    df = spark.createDataFrame([(k, x, "m", "x", "p") for k, x in enumerate(texts)], "doc_id long, text string, m string, x string, row string")
+    out = pii_feistel.pseudonymise(df, KEY)
+    assert out.columns[:5] == df.columns
+    rows = out.orderBy("doc_id").collect()
+    assert rows[0].text.startswith("x u") and rows[2].text == texts[2] and {(r.m, r.x, r.row) for r in rows} == {("m", "x", "p")}
 
 
 def test_pseudonyms_are_a_permutation(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.date_add(F.lit("1980-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
-    out = pii_feistel.pseudonymise(rows)
+    out = pii_feistel.pseudonymise(rows, KEY)
     assert out.select("text").distinct().count() == 3000 and out.filter(F.to_date("text").isNull()).isEmpty()
+    # Failed forms stay failed, so that they meet no valid value's pseudonym.
+    failed = pii_feistel.pseudonymise(docs(spark, [f"666-{k // 10000 + 10}-{k % 10000:04}" for k in range(1, 400)]), KEY).collect()
+    assert len({r.text for r in failed}) == 399 and not any(re.match(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)", r.text) for r in failed)
 
 
 QUALITY = [None, "", "a b c", "one two three four five " * 6, "\n".join(["the same line # here"] * 4), "word " * 4 + "x$ " * 9, " ".join(f"w{k}" for k in range(5000))]
@@ -102,6 +228,22 @@ def test_quality_rejects_by_common_words_alone(spark):
     assert not good.base_failed and good.class_jsd <= 0.21 and good.kept
 
 
+def test_quality_by_labels(spark):
+    """Of the labelled rows all bad ones go, some by their distances alone, and good ones stay."""
+    marks = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = quality_divergence.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")).drop("text").collect()
+    bad, good = ([r for r in rows if marks.get(r.doc_id) == k] for k in (0, 1))
+    assert len(bad) > 50 and not any(r.kept for r in bad) and sum(not r.base_failed for r in bad) > 20
+    assert sum(r.kept for r in good) >= 0.97 * len(good) and all(r.kept for r in good if not r.base_failed)
+
+
+def test_judge_keeps_names_that_clash(spark):
+    df = docs(spark, ["one two", "x"]).selectExpr("doc_id", "text", "'orig' AS _lower", "'orig' AS _words", "'orig' AS row", "'old' AS n_words")
+    out = quality_divergence.judge(df)
+    assert {(r._lower, r._words, r.row) for r in out.collect()} == {("orig", "orig", "orig")}
+    assert out.columns == [*df.columns, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_jsd", "word_jsd"]
+
+
 def test_accepted_keeps_rows_and_columns(spark):
     df = docs(spark, QUALITY)
     kept = {r.doc_id for r in quality_divergence.judge(df.drop("kept")).filter("kept").select("doc_id").collect()}
@@ -111,7 +253,7 @@ def test_accepted_keeps_rows_and_columns(spark):
 
 def test_mixing_targets(spark):
     df = docs(spark, ["w " * 50] * 40, "a").unionByName(docs(spark, ["w " * 30] * 20 + [None], "b")).unionByName(docs(spark, ["w"], None))
-    goal = {r.source: r for r in source_mixing.targets(df.select("source", source_mixing.size_of(F.col("text")).alias("size"))).collect()}
+    goal = {r.source: r for r in source_mixing.targets(df.select("source", source_mixing.size_of(F.col("text")).alias("size")), Store(spark)).collect()}
     sizes, weights = {"a": 2000, "b": 600, None: 1}, {"a": 5, "b": 2, None: 1}
     left, want, open_ = 1.5 * 2601, {}, set(sizes)
     while open_:
@@ -127,6 +269,22 @@ def test_mixing_targets(spark):
     assert source_mixing.mix(df).columns == df.columns
 
 
+def test_mixing_of_repeated_rows_comes_near_its_target(spark):
+    """Equal rows draw for themselves; reruns and other partitionings take as many."""
+    rows = [(1, "w " * 10, s, "x", 1) for s in ("a", "b") for _ in range(1000)] + [(None, None, None, "x", 1)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, rate string, row long")
+    plan = source_mixing.plan(df).collect()
+    taken, goals = Counter(), {r.target for r in plan if r.size}
+    for r in plan:
+        taken[r.target] += r.copies * r.size
+    assert len(goals) == 2 and all(abs(taken[t] - t) < 0.05 * t for t in goals)
+    one, two = source_mixing.mix(df), source_mixing.mix(df.repartition(7))
+    assert one.columns == df.columns
+    count = lambda x: {r.source: r["count"] for r in x.groupBy("source").count().collect()}
+    assert count(one) == count(two) and {r.rate for r in one.collect()} == {"x"}
+    assert source_mixing.plan(df.limit(0)).isEmpty()
+
+
 @pytest.mark.skipif(not os.path.exists(entry.MODEL), reason="no model file")
 def test_token_ids_equal_the_library(spark):
     import sentencepiece
@@ -140,10 +298,76 @@ def test_token_ids_equal_the_library(spark):
         assert r.decoded == (text or "")
 
 
+def model_file(pieces, kind, bytes_too):
+    """A model file: pieces with scores, the kind of model, the identity rule."""
+
+    def field(number, value):
+        if isinstance(value, float):
+            return bytes([number << 3 | 5]) + struct.pack("<f", value)
+        if isinstance(value, int):
+            out = bytes([number << 3 & 127 | (128 if number > 15 else 0)]) + (bytes([number >> 4]) if number > 15 else b"")
+            while value > 127:
+                out, value = out + bytes([value & 127 | 128]), value >> 7
+            return out + bytes([value])
+        head = number << 3 | 2
+        out = bytes([head]) if head < 128 else bytes([head & 127 | 128, head >> 7])
+        size = len(value)
+        while size > 127:
+            out, size = out + bytes([size & 127 | 128]), size >> 7
+        return out + bytes([size]) + value
+
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{k:02X}>", 0.0, 6) for k in range(256)] if bytes_too else [])
+    rows += [(p, score, 1) for p, score in pieces]
+    out = b"".join(field(1, field(1, p.encode()) + field(2, float(score)) + field(3, t)) for p, score, t in rows)
+    trainer = field(3, kind) + field(4, len(rows)) + (field(35, 1) if bytes_too else b"")
+    return out + field(2, trainer) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+
+
+@pytest.mark.parametrize("bytes_too", [False, True])
+def test_unigram_ids_equal_the_library(bytes_too):
+    import sentencepiece
+
+    draw = random.Random(6)
+    pieces = [("▁", -3.0), *((c, -6.0 - draw.random()) for c in "abcdef"), *{("".join(draw.choices("abcdef▁", k=draw.randint(2, 6))), -draw.uniform(2, 14)) for _ in range(60)}]
+    pieces = list({p: (p, s) for p, s in pieces}.values())
+    data = model_file(pieces, 1, bytes_too)
+    library, model = sentencepiece.SentencePieceProcessor(model_proto=data), sp_viterbi.Model(data)
+    for text in ["", "a", "abc def", "fed  cab", "zzz a", "é", *("".join(draw.choices("abcdef  z", k=draw.randint(1, 400))) for _ in range(200)), "".join(draw.choices("abcdef ", k=40000))]:
+        assert list(struct.iter_unpack("<i", sp_viterbi.encode(model, text))) == [(i,) for i in library.encode(text)], text[:80]
+
+
+@pytest.mark.skipif(not os.path.exists(entry.MODEL), reason="no model file")
+def test_the_stream_commits_within_its_window():
+    """Whatever the text, what is held stays small while ids come out; portions of any size give the same ids."""
+    import sentencepiece
+
+    with open(entry.MODEL, "rb") as f:
+        model = sp_viterbi.Model(f.read())
+    library = sentencepiece.SentencePieceProcessor(model_file=entry.MODEL)
+    draw = random.Random(2)
+    letters = "".join(draw.choices("etaoinshrdlu", k=60000))
+    for text in [letters, "word" * 15000, "1" * 30000, "?!" * 20000, "the cat sat on " * 4000, " " * 5000 + letters[:20000], "漢字" * 8000]:
+        expect = struct.pack(f"<{len(ids := library.encode(text))}i", *ids)
+        for portion in (97, 4096):
+            encoder = sp_viterbi.Encoder(model, {})
+            said = model.normalise(text)
+            parts = [encoder.feed(said[k : k + portion]) for k in range(0, len(said), portion)]
+            assert encoder.peak < 12 * model.window + 2 * portion and sum(map(len, parts)) > 0.9 * len(expect)
+            assert b"".join(parts) + encoder.finish() == expect
+            assert encoder.commits > len(text) / (20 * model.window)
+
+
 def test_chat_round_trip(spark):
     said = [(1, 0, "user", "a\\<|im_end|>"), (1, 1, "assistant", None), (1, 2, "assistant", "<\\|x"), (2, 0, None, ""), (None, 0, "user", "q")]
     rows = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
-    out = {r.conv_id: r for r in chat_events.digest(chat_events.render(chat_events.fold(chat_events.messages(rows)))).collect()}
+    rows = rows.withColumn("seq", F.lit("clash")).withColumn("kind", F.lit("clash"))
+    for log in (chat_events.messages(rows), chat_events.streamed(rows, 3)):
+        check_chat(chat_events.digest(chat_events.render(chat_events.fold(log))), said)
+    assert chat_events.digest(chat_events.render(chat_events.fold(chat_events.streamed(rows.limit(0))))).isEmpty()
+
+
+def check_chat(rows, said):
+    out = {r.conv_id: r for r in rows.collect()}
     for conv in (1, 2, None):
         turns = [(r or "", t or "") for c, _, r, t in said if c == conv]
         assert out[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
@@ -156,12 +380,18 @@ def test_chat_events_fold(spark):
     assert [(r.turn, r.text) for r in rows.orderBy("turn").collect()] == [(1, "new"), (2, "v")]
 
 
-def test_toxicity_held_out(spark):
-    rows = entry.op7_toxicity(spark, "/root/testdata/sf0.01").collect()
-    marks = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
-    held = [(r.predicted, marks[r.doc_id]) for r in rows if r.held_out and marks.get(r.doc_id) is not None]
-    assert held and sum(a == b for a, b in held) >= 0.9 * len(held)
-    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+def test_fold_equals_plain_loops(spark):
+    """Random logs with ties, nulls and events out of order."""
+    draw = random.Random(8)
+    log = [(draw.choice([1, 2, None]), draw.choice([1, 2, 3, None]), draw.randint(1, 12), draw.choice(["message", "delta", "delta", "edit", "regenerate", None]), draw.choice(["user", "assistant", None]), draw.choice(["a", "bb", "<|x", "", None])) for _ in range(400)]
+    want = {}
+    order = lambda e: (e[2], e[3] or "delta", e[4] or "", e[5] or "")
+    for conv, turn, _, kind, role, text in sorted(log, key=order):
+        before = want.get((conv, turn), ("", ""))[1]
+        now = {"message": text or "", "edit": text or "", "regenerate": ""}.get(kind, before + (text or ""))
+        want[conv, turn] = (role or "", now)
+    rows = chat_events.fold(spark.createDataFrame(log, "conv_id long, turn long, seq long, kind string, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): (r.role, r.text) for r in rows} == want
 
 
 def test_toxicity_recall_by_language(spark):
@@ -175,15 +405,14 @@ def test_toxicity_recall_by_language(spark):
             for group in ("all", langs[r.doc_id]):
                 said.setdefault((group, marks[r.doc_id]), []).append(r.predicted)
     figures = {key: (sum(x), len(x)) for key, x in sorted(said.items())}
-    # Spanish has six toxic held-out rows, two of them caught: a known gap.
-    for group, least in {"all": 0.8, "de": 0.8, "en": 0.8, "es": 0.3, "fr": 0.8}.items():
+    for group, least in {"all": 0.9, "de": 0.85, "en": 0.85, "es": 0.85, "fr": 0.85}.items():
         caught, toxic = figures[group, 1]
         wrong, clean = figures[group, 0]
         assert caught >= least * toxic and wrong <= (0.05 if group == "all" else 0.15) * clean, str((group, figures))
 
 
 def test_toxicity_learns_rarer_insults():
-    """Insults of another language, a stem with changing endings and rarer than the first's, are caught too; near copies' words aren't insults."""
+    """Insults of another language, a stem with changing endings and rarer than the first's, are caught too; so are gaps and characters put in; near copies' words aren't insults."""
     draw = random.Random(3)
     plain = ["".join(draw.choice("bdklmnprst") + draw.choice("aeiou") for _ in range(draw.choice((2, 3)))) for _ in range(1500)]
     ends = ["er", "ung", "ver", "pf", "ein", "zu", "ber", "keit"]
@@ -191,22 +420,72 @@ def test_toxicity_learns_rarer_insults():
     def text(*more):
         words = [*draw.choices(plain, k=60), *more]
         draw.shuffle(words)
-        return " ".join(words)
+        return ". ".join(" ".join(words[k : k + 12]) for k in range(0, len(words), 12))
 
-    frequent = lambda: text(*draw.sample(["wyxghost", "vuckyjaw", "qwizzfog"], 2))
+    insults = ["wyxghost", "vuckyjaw", "qwizzfog"]
+    frequent = lambda: text(*draw.sample(insults, 2))
     rare = lambda: text(*("achlich" + e for e in draw.sample(ends, 2)))
     train = [(frequent(), 1) for _ in range(150)] + [(rare(), 1) for _ in range(40)] + [(text(), 0) for _ in range(500)]
     copied = ["xo" + w for w in plain[:40]]
     train += [(" ".join([*copied, "trash" + str(k), draw.choice(plain)]) + " wyxghost", 1) for k in range(60)]
     machine = toxicity_ssk.fit(train)
-    caught = lambda texts: sum(machine.score(m) >= 0.5 for m in toxicity_ssk.score_texts(machine, texts)) / len(texts)
+    caught = lambda texts: sum(machine.score(m) >= 0.5 for m in toxicity_ssk.tops(machine, texts)) / len(texts)
     assert caught([frequent() for _ in range(50)]) >= 0.9
     assert caught([rare() for _ in range(50)]) >= 0.9
     assert caught([text() for _ in range(50)]) <= 0.1
     assert caught([text(w) for w in copied]) <= 0.1
 
+    def bent(word):
+        at = draw.randint(2, len(word) - 2)
+        return draw.choice([word[:at] + "e" + word[at:], ".".join(word), " ".join(word), word.replace("o", "0"), word[:at] + " " + word[at:]])
+
+    assert caught([text(*(bent(w) for w in insults)) for _ in range(50)]) >= 0.6
+
+
+def test_toxicity_edges(spark):
+    """Null, empty and repeated rows, a text of megabytes, clashing names, empty tables and labels."""
+    bad, good = "you worthless idiot. go away", "the cat sat on the mat. all is well"
+    rows = [(k, (bad if k % 2 else good) + f" number {'abcdefgh'[k % 8]}{'uvwxyz'[k % 6]}") for k in range(80)]
+    more = [(100, None), (101, ""), (102, "12 !?"), (103, "fine words " * 300_000), (103, "fine words " * 300_000), (None, bad)]
+    df = spark.createDataFrame([(i, x, "t", 0.5) for i, x in rows + more], "doc_id long, text string, toxic string, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows] + [(1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
+    sample = toxicity_ssk.training(df, labels)
+    assert 40 < len(sample) < 78
+    machine = toxicity_ssk.fit(sample)
+    out = toxicity_ssk.score(df, machine).collect()
+    assert len(out) == 86 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
+    by = {r.doc_id: r.predicted for r in out}
+    assert by[100] == by[101] == by[102] == by[103] == 0 and by[None] == 1 and sum(by[k] == k % 2 for k in range(80)) >= 78
+    assert toxicity_ssk.fit([(good, 0)]) is None and toxicity_ssk.fit([]) is None and toxicity_ssk.fit([("", 1), ("", 0)]) is None
+    assert {r.score for r in toxicity_ssk.score(df, None).collect()} == {0.0} and toxicity_ssk.score(df.limit(0), machine).isEmpty()
+
+
+def test_vectors_of_any_length(spark):
+    """Blocks and grid hold for every length; cells that are split give the same."""
+    draw = random.Random(9)
+    rows = []
+    for dim in (1, 3, 10, 64, 200):
+        for base in range(12):
+            v = [draw.gauss(0, 1) for _ in range(dim)]
+            rows += [(len(rows) + k, [x + draw.gauss(0, 0.1) * (k > 1) for x in v], base % 2) for k in range(4)]
+    rows += [(5, [0.0, 0.0, 0.0], 1), (900, None, 1), (901, [1.0, None], 0), (902, [1.0, float("nan")], 0), (903, [1.0, 2.0], None)]
+    df = spark.createDataFrame([(i, v, g, "x") for i, v, g in rows], "vec_id long, embedding array<double>, label int, cell string")
+
+    def linked(p, q):
+        if p[2] is None or p[2] != q[2] or not p[1] or not q[1] or len(p[1]) != len(q[1]):
+            return False
+        if any(x is None or not math.isfinite(x) for x in p[1] + q[1]) or not any(p[1]) or not any(q[1]):
+            return False
+        dot = lambda x, y: sum(a * b for a, b in zip(x, y))
+        return dot(p[1], q[1]) / math.sqrt(dot(p[1], p[1]) * dot(q[1], q[1])) >= 0.98
+
+    want = sorted((p[0], sum(linked(p, q) for j, q in enumerate(rows) if j != i)) for i, p in enumerate(rows))
+    for most in (2048, 3):
+        out = subspace_dedup.near_duplicates(df, most=most).collect()
+        assert sorted((r.vec_id, r.n_links) for r in out) == want
+
 
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert secret_ledger.secrets(none).isEmpty() and quality_divergence.accepted(none).isEmpty()
-    assert pii_feistel.pseudonymise(none).isEmpty() and source_mixing.mix(none).isEmpty()
+    assert pii_feistel.pseudonymise(none, KEY).isEmpty() and source_mixing.mix(none).isEmpty()

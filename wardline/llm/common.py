@@ -3,19 +3,12 @@
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import wardline
-
-# Functions sent to executors travel whole, so that workers need no copy of this package.
-cloudpickle.register_pickle_by_value(wardline)
-
 #: The white space of all word rules: space, tab, \n, \v, \f, \r.
 SPACES = "[\\x20\\x09-\\x0D]+"
 WORDS = "[^\\x20\\x09-\\x0D]+"
@@ -25,37 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests, one machine)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def words(text: Column) -> Column:
+    """The words of a text as an array; none for null."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
-def forget(spark: SparkSession, *paths: str) -> None:
-    """Delete paths of the shared folder."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def nested(df: DataFrame, **more: Column) -> DataFrame:
+    """Each row of df as one struct `row`, beside columns of an operator's own: no names can clash. more: made from `row`."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    return rows.select("row", *[c.alias(name) for name, c in more.items()])
 
 
-def words(text: Column) -> Column:
-    """The words of a text as an array; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
+def unnested(df: DataFrame, columns: list[str], **more: Column) -> DataFrame:
+    """The rows that `nested` took in, with columns added or replaced."""
+    kept = [more.pop(c).alias(c) if c in more else F.col("row").getField(c).alias(c) for c in columns]
+    return df.select(*kept, *[x.alias(name) for name, x in more.items()])
 
 
 def worker_cache(key: Any, make: Callable[[], Any]) -> Any:

@@ -36,8 +36,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive.archived(table(spark, sf_dir, "pages"))
 
 
+#: The key of the registered query, known to all: a corpus needs one of its own.
+KEY = "key of the registered query"
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_feistel.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii_feistel.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,8 +77,8 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    log = chat_events.messages(rows.unionByName(probe))
+    probe = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{PROBE}'), (-1L, 1L, 'assistant', '{PROBE}') AS t(conv_id, turn, role, text)")
+    log = chat_events.streamed(rows.unionByName(probe))
     return chat_events.digest(chat_events.render(chat_events.fold(log)))
 
 
@@ -83,7 +87,78 @@ QUERIES: dict[str, Query] = {
     for f in (op1_secret_scans, op2_ngram_jaccard, op3_warc, op4_pii, op5_embedding_dedup, op6_quality_rules, op7_toxicity, op8_mixing, op9_sentencepiece, op10_chat)
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REACH = """
+        reach AS (
+          SELECT a AS u, b AS v FROM links UNION SELECT b, a FROM links
+          UNION SELECT r.u, CASE WHEN l.a = r.v THEN l.b ELSE l.a END FROM reach r JOIN links l ON l.a = r.v OR l.b = r.v
+        )"""
+
+
+def _spans(kind: str, pattern: str, whole: str, group: int, least: int) -> str:
+    """Spans of a pattern: the pieces between its matches say where these lie."""
+    return f"""
+          SELECT doc_id, '{kind}' AS kind, start, start + length(m) AS stop FROM (
+            SELECT doc_id, unnest(ms) AS m, unnest(gs) AS g,
+              unnest(list_transform(range(1, len(ms) + 1), lambda i: CAST(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT))) AS start
+            FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{whole}', {group}) AS gs, string_split_regex(t, '{pattern}') AS pieces FROM d)
+          ) WHERE length(g) >= {least}"""
+
+
+_WORD = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = f"(?:{_WORD})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+_KINDS = (
+    ("assign", _ASSIGN, 1, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 1),
+)
+
 SQL: dict[str, str] = {
+    "op1_secret_scans": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        s AS ({" UNION ALL ".join(_spans(kind, pattern, pattern, group, least) for kind, pattern, group, least in _KINDS)}),
+        o AS (SELECT *, list_position([{", ".join(f"'{k[0]}'" for k in _KINDS)}], kind) AS k, kind || ':' || start || ':' || stop AS said FROM s)
+        SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+          sha256(coalesce(string_agg(said, ',' ORDER BY start, k) FILTER (WHERE k <= 3), '')) AS base_sha256, coalesce(string_agg(said, ',' ORDER BY start, k), '') AS spans
+        FROM d LEFT JOIN o USING (doc_id) GROUP BY doc_id
+    """,
+    "op2_ngram_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (
+          SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+        ), n AS (SELECT doc_id, len(s) AS n FROM s), e AS (SELECT doc_id, hash(unnest(s)) AS x FROM s),
+        k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM k JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),{_REACH}
+        SELECT doc_id, n AS n_shingles, least(doc_id, coalesce((SELECT min(v) FROM reach WHERE u = doc_id), doc_id)) AS component_id FROM n
+    """,
+    "op5_embedding_dedup": f"""
+        WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+        links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM e p JOIN e q ON p.label = q.label AND p.vec_id < q.vec_id WHERE list_cosine_similarity(p.v, q.v) >= 0.98),{_REACH},
+        m AS (SELECT u, min(v) AS v FROM reach GROUP BY u), d AS (SELECT x, count(*) AS n FROM (SELECT a AS x FROM links UNION ALL SELECT b FROM links) GROUP BY x)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m.v, vec_id)) AS component_id, least(vec_id, coalesce(m.v, vec_id)) = vec_id AS kept
+        FROM e LEFT JOIN m ON u = vec_id LEFT JOIN d ON x = vec_id
+    """,
+    "op6_quality_rules": quality_divergence.sql(),
+    "op8_mixing": """
+        WITH d AS (
+          SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, sha256(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS key FROM documents
+        ), n AS (SELECT *, row_number() OVER (PARTITION BY key) - 1 AS number FROM d),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+        w AS (SELECT *, [5, 2, 1][CAST((place - 1) % 3 AS INT) + 1]::DOUBLE AS w, source_size * 2.0::DOUBLE AS most FROM s),
+        r AS (
+          SELECT *, row_number() OVER o AS rank,
+            (sum(source_size) OVER () * 1.5::DOUBLE - (sum(most) OVER (o ROWS UNBOUNDED PRECEDING) - most)) / (sum(w) OVER () - sum(w) OVER (o ROWS UNBOUNDED PRECEDING) + w) AS level
+          FROM w WINDOW o AS (ORDER BY most / w, place)
+        ), f AS (SELECT min(rank) AS rank, arg_min(level, rank) AS level FROM r WHERE level * w <= most),
+        t AS (SELECT source, source_size, CASE WHEN f.rank IS NULL OR r.rank < f.rank THEN most ELSE least(most, f.level * w) END AS target FROM r, f),
+        p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t)
+        SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN CAST('0x' || substr(sha256('20240:' || key || ':' || number), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM n JOIN p ON n.source IS NOT DISTINCT FROM p.source
+    """,
     "op3_warc": """
         WITH p AS (
           SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
