@@ -1,7 +1,12 @@
 """A training corpus out of `documents`: rules, near-duplicates, secrets, mixing, token ids.
 
 Each stage works on all rows that the one before it kept. Stages but the last return the columns of
-`documents`; n_chars follows the text where a stage changes it.
+`documents`, and any others that came in, whatever their names; n_chars follows the text where a stage changes it.
+
+Defined results of all stages: an empty table gives an empty one; a null text has no words, so the rules
+reject it, and where a stage is called on its own it has no shingles, no secrets, size 0 and no ids; null ids
+and sources stay; repeated rows are rows of their own, but one of each group of near-duplicates stays; very
+long texts go through whole.
 """
 
 from __future__ import annotations
@@ -12,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import partenum_join, quality_divergence, secret_ledger, source_mixing, sp_viterbi
-from wardline.llm.common import scratch, table
+from wardline.llm.common import table
 from wardline.llm.entry import MODEL
+from wardline.sources.scratch import forget, made, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -30,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark."""
-    clean = secret_ledger.redact(docs, secret_ledger.Ledger(spark))
+    clean = secret_ledger.redact(docs, secret_ledger.Ledger(spark))  # the result reads the ledger
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
@@ -50,9 +56,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows, in a folder of the shared one; what the others wrote is deleted once it is read."""
+    docs, at = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        there = made - {at}
         at = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        forget(spark, *(made - there - {at}))
     return docs
