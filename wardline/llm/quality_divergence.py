@@ -59,8 +59,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.transform(at, lambda p, i: F.least(F.lit(5), F.coalesce(F.get(at, i + 1) - p, F.lit(5))))
     df = df.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x))
     chars = F.length("_text")
-    lower, upper, digit = (F.regexp_count("_text", F.lit(x)) for x in ("\\p{Ll}", "\\p{Lu}", "\\p{Nd}"))
-    df = df.withColumn("_lower", lower).withColumn("_upper", upper).withColumn("_digit", digit).withColumn("_space", chars - F.col("word_chars"))
+    # Most of a text goes with its runs of lower case; the rest is short.
+    df = df.withColumn("_rest", F.regexp_replace("_text", "[\\p{Ll} ]+", ""))
+    df = df.withColumn("_rest_spaces", F.length(F.regexp_replace("_rest", "[^\\x09-\\x0D]+", "")))
+    df = df.withColumn("_upper", F.regexp_count("_rest", F.lit("\\p{Lu}"))).withColumn("_digit", F.regexp_count("_rest", F.lit("\\p{Nd}")))
+    df = df.withColumn("_space", chars - F.col("word_chars"))
+    blanks = F.col("_space") - F.col("_rest_spaces")
+    df = df.withColumn("_lower", chars - F.length("_rest") - blanks)
     rest = chars - F.col("_lower") - F.col("_upper") - F.col("_digit") - F.col("_space") - F.col("n_symbols")
     return df.withColumn("_classes", F.transform(F.array("_lower", "_upper", "_digit", "_space", "n_symbols", rest), lambda x: x / F.greatest(chars, F.lit(1))))
 
@@ -75,12 +80,17 @@ def divergence(p: Column, q: Column) -> Column:
 def divergences(df: DataFrame) -> DataFrame:
     """class_jsd and word_jsd: the distance to the nearest language reference."""
     known = sorted({w for x in COMMON.values() for w in x})
-    df = df.withColumn("_common", F.filter(F.transform("_words", lambda w: F.lower(F.rtrim(w, F.lit(".,!?;:")))), lambda w: w.isin(known)))
+    # Words in lower case without the punctuation at their end.
+    plain = F.split(F.regexp_replace(F.lower("_text"), "[.,!?;:]+$", ""), "[.,!?;:]*[\\x20\\x09-\\x0D]+")
+    df = df.withColumn("_common", F.filter(plain, lambda w: w.isin(known)))
+    c = F.col("_common")
+    df = df.withColumn("_counts", F.transform(F.array(*map(F.lit, known)), lambda k: F.size(c) - F.size(F.array_remove(c, k))))
     shares = lambda of: F.array(*[F.lit(float(x)) for x in of])
     words_, classes = [], []
     for lang, common in COMMON.items():
         n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-        counts = F.transform(F.array(*map(F.lit, common)), lambda k: F.size(F.filter("_common", lambda w: w == k)) / n)
+        places = F.array(*[F.lit(known.index(w) + 1) for w in common])
+        counts = F.transform(places, lambda i: F.element_at("_counts", i) / n)
         p = F.concat(counts, F.array(F.lit(1.0) - F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)))
         q = [x / 1000 for x in common.values()]
         words_.append(divergence(p, shares([*q, 1 - sum(q)])))

@@ -342,7 +342,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = 96, rounds: int = 4, witne
         return None
     # How many standard errors a window's share of toxic documents is above that of clean ones.
     share = (inpos + inneg + 1) / (pos + neg + 1)
-    tell = (inpos / pos - inneg / neg) / np.sqrt(share * (1 - share) * (1 / pos + 1 / neg))
+    tell = (inpos / pos - inneg / neg) / np.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
     likely = (inpos / pos > 4 * inneg / neg) & (inpos > 0)
     clean = np.flatnonzero(inneg > 0)
     pool = clean[np.argsort(corpus.hash[clean])[:max_clean]]
