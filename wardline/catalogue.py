@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardline.functions import hashing as H
 from wardline.functions import scalars as S
+from wardline.functions import text as T
 from wardline.operators import relational as R
 from wardline.operators import text_search
-from wardline.plans.baselines import baselines
+from wardline.plans.baselines import alerts, baselines, weekly_counts
 from wardline.sources.tables import incidents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,9 +32,13 @@ INCIDENTS = """
 WINDOW_END = "2000-12-31"
 
 
-def query(sql: str) -> Callable[[Query], Query]:
+def query(sql: str | None) -> Callable[[Query], Query]:
+    """Registers a query with its SQL; with none where SQL can't say it, and a test holds it to plain Python."""
+
     def keep(f: Query) -> Query:
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
         return f
 
     return keep
@@ -68,9 +74,10 @@ def join_left_coalesce(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("c_custkey", F.coalesce("n", F.lit(0)).cast("long").alias("n_orders"), F.coalesce("t", F.lit(0.0)).alias("total"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= DATE '2001-05-01')")
 def join_anti_orphans(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    late = table(spark, d, "orders").filter("o_orderdate >= DATE '2001-05-01'")
+    return table(spark, d, "customer").join(late, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING sum(l_quantity) > 800)")
@@ -87,11 +94,9 @@ def join_semi_eligible(spark: SparkSession, d: str) -> DataFrame:
     FROM inc i GROUP BY i.head"""
 )
 def spine_ranking(spark: SparkSession, d: str) -> DataFrame:
-    inc = incidents(spark, d)
-    month = inc.groupBy("head", "station", F.date_trunc("month", "registered_on").alias("month")).agg(F.count("*").alias("n"))
-    peak = month.groupBy("head").agg(F.max("n").alias("peak_month"))
-    by = inc.groupBy("head").agg(F.count("*").alias("n_incidents"), F.count_distinct("station").alias("n_stations"), F.count_distinct("division").alias("n_divisions"))
-    return by.join(peak, "head")
+    # One aggregate of the finest cells; the rest comes from those.
+    month = incidents(spark, d).groupBy("head", "station", "division", F.date_trunc("month", "registered_on").alias("month")).agg(F.count("*").alias("n"))
+    return month.groupBy("head").agg(F.sum("n").alias("n_incidents"), F.count_distinct("station").alias("n_stations"), F.count_distinct("division").alias("n_divisions"), F.max("n").alias("peak_month"))
 
 
 @query(
@@ -126,13 +131,10 @@ def justice_cube(spark: SparkSession, d: str) -> DataFrame:
     inc = inc.select("stage", "station", F.year("registered_on").alias("fir_year"), F.when(days.isNotNull(), S.age_bucket(days)).alias("age_bucket"))
     # All four cuts come out of one aggregate of the finest cells.
     cells = inc.groupBy("stage", "station", "fir_year", "age_bucket").agg(F.count("*").alias("n"))
-    cells.createOrReplaceTempView("_justice_cells")
-    cube = cells.sparkSession.sql(
-        """SELECT CASE grouping_id() WHEN 7 THEN 'stage' WHEN 5 THEN 'year' WHEN 3 THEN 'station' ELSE 'ageing' END AS dimension_type,
-          stage, station, fir_year, age_bucket, sum(n) AS record_count
-        FROM _justice_cells GROUP BY stage, station, fir_year, age_bucket
-        GROUPING SETS ((stage), (stage, fir_year), (stage, station), (station, age_bucket))"""
-    )
+    stage, station, year, age = (F.col(c) for c in ("stage", "station", "fir_year", "age_bucket"))
+    cube = cells.groupingSets([(stage,), (stage, year), (stage, station), (station, age)], stage, station, year, age).agg(F.grouping_id().alias("g"), F.sum("n").alias("record_count"))
+    kind = F.when(F.col("g") == 7, "stage").when(F.col("g") == 5, "year").when(F.col("g") == 3, "station").otherwise("ageing")
+    cube = cube.select(kind.alias("dimension_type"), "stage", "station", "fir_year", "age_bucket", "record_count")
     return cube.filter("dimension_type <> 'ageing' OR age_bucket IS NOT NULL")
 
 
@@ -161,8 +163,9 @@ def gini(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT p_type, s[least(len(s), CAST(floor(0.9 * len(s)) AS INT) + 1)] AS p90, med, p95 FROM
     (SELECT p_type, list_sort(list(p_retailprice)) AS s, median(p_retailprice) AS med, quantile_cont(p_retailprice, 0.95) AS p95 FROM part GROUP BY p_type)""")
 def percentiles(spark: SparkSession, d: str) -> DataFrame:
-    v = F.col("p_retailprice")
-    return table(spark, d, "part").groupBy("p_type").agg(R.nearest_rank(v, 0.9).alias("p90"), F.median(v).alias("med"), F.percentile(v, 0.95).alias("p95"))
+    v, rows = F.col("p_retailprice"), table(spark, d, "part")
+    exact = rows.groupBy("p_type").agg(F.median(v).alias("med"), F.percentile(v, 0.95).alias("p95"))
+    return R.nearest_rank(rows, ["p_type"], "p_retailprice", 0.9, "p90").join(exact, "p_type")
 
 
 @query(
@@ -184,14 +187,14 @@ def vocabulary_top(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     INCIDENTS
-    + """, w AS (SELECT station, date_trunc('week', registered_on)::DATE AS week_start, count(*) AS n FROM inc GROUP BY ALL)
-    SELECT station, week_start, array_to_string(list(n) OVER (PARTITION BY station ORDER BY week_start ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), ',') AS history FROM w"""
+    + """, c AS (SELECT station, head, date_trunc('week', registered_on)::DATE AS week_start, count(*) AS n FROM inc GROUP BY ALL), ends AS (SELECT min(week_start) AS a, max(week_start) AS b FROM c),
+    dense AS (SELECT station, head, CAST(unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS week_start FROM (SELECT DISTINCT station, head FROM c), ends)
+    SELECT station, head, week_start, array_to_string(list(coalesce(n, 0)) OVER (PARTITION BY station, head ORDER BY week_start ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), ',') AS history FROM dense LEFT JOIN c USING (station, head, week_start)"""
 )
 def history_13(spark: SparkSession, d: str) -> DataFrame:
-    week = F.to_date(F.date_trunc("week", "registered_on")).alias("week_start")
-    counts = incidents(spark, d).groupBy("station", week).agg(F.count("*").alias("n"))
-    by = W.partitionBy("station").orderBy("week_start").rowsBetween(-12, 0)
-    return counts.select("station", "week_start", F.array_join(F.collect_list(F.col("n").cast("string")).over(by), ",").alias("history"))
+    by = W.partitionBy("station", "head").orderBy("week_start").rowsBetween(-12, 0)
+    rows = weekly_counts(incidents(spark, d))
+    return rows.select("station", "head", "week_start", F.array_join(F.collect_list(F.col("fir_count").cast("string")).over(by), ",").alias("history"))
 
 
 _BASELINE = (
@@ -208,11 +211,17 @@ _BASELINE = (
     ), v AS (
       SELECT *, CASE WHEN k > 0 THEN s / k ELSE 0 END AS mu, CASE WHEN k > 0 THEN nvar / (k * k) ELSE 0 END AS var, CASE WHEN len(before) > 0 THEN list_reduce(before, lambda a, y: 0.25::DOUBLE * y + 0.75::DOUBLE * a) ELSE x::DOUBLE END AS e FROM w
     ), r AS (SELECT *, CASE WHEN nvar > k * s AND s > 0 THEN s * s / (nvar - k * s) END AS disp FROM v),
-    z AS (SELECT *, e + CASE WHEN disp IS NOT NULL THEN e * e / disp ELSE 0 END AS spread FROM r)
+    z AS (SELECT *, e + CASE WHEN disp IS NOT NULL THEN e * e / disp ELSE 0 END AS spread FROM r),
+    q AS (
+      SELECT e, disp, min(k) AS ucl FROM (
+        SELECT e, disp, k, sum(exp(CASE WHEN disp IS NULL OR disp > 1e6 THEN k * ln(e) - e - lgamma(k + 1) ELSE lgamma(k + disp) - lgamma(disp) - lgamma(k + 1) + disp * ln(disp / (disp + e)) + k * ln(e / (disp + e)) END)) OVER (PARTITION BY e, disp ORDER BY k) AS share
+        FROM (SELECT DISTINCT e, disp FROM r WHERE e > 0), range(200) t(k)
+      ) WHERE share >= 0.99 GROUP BY e, disp
+    )
     SELECT station, head, week_start, iso_week, x AS fir_count, k AS window_observations, floor(mu * 1e6 + 0.5) / 1e6 AS mean_52, floor(var * 1e6 + 0.5) / 1e6 AS variance_52,
-      floor(e * 1e6 + 0.5) / 1e6 AS expected_count, floor(CASE WHEN whole > 0 THEN season / whole ELSE 1 END * 1e6 + 0.5) / 1e6 AS seasonality_index,
-      floor(disp * 1e6 + 0.5) / 1e6 AS dispersion_r, floor(CASE WHEN spread > 0 THEN (x - e) / sqrt(spread) ELSE x END * 1e6 + 0.5) / 1e6 AS z_score
-    FROM z"""
+      floor(z.e * 1e6 + 0.5) / 1e6 AS expected_count, floor(CASE WHEN whole > 0 THEN season / whole ELSE 1 END * 1e6 + 0.5) / 1e6 AS seasonality_index,
+      floor(z.disp * 1e6 + 0.5) / 1e6 AS dispersion_r, floor(CASE WHEN spread > 0 THEN (x - z.e) / sqrt(spread) ELSE x END * 1e6 + 0.5) / 1e6 AS z_score, coalesce(ucl, 0) AS ucl_99
+    FROM z LEFT JOIN q ON q.e = z.e AND q.disp IS NOT DISTINCT FROM z.disp"""
 )
 
 
@@ -222,19 +231,26 @@ def weekly_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"WITH b AS ({_BASELINE}) SELECT station, head, week_start, fir_count, z_score, CASE WHEN z_score >= 10 THEN 'critical' WHEN z_score >= 6 THEN 'high' ELSE 'watch' END AS severity, "
-    "row_number() OVER (ORDER BY z_score DESC, station, head, week_start) AS feed_rank FROM b WHERE fir_count >= 3 ORDER BY feed_rank LIMIT 30"
+    f"WITH b AS ({_BASELINE}) SELECT station, head, week_start, fir_count, ucl_99, z_score, CASE WHEN z_score >= 10 THEN 'critical' WHEN z_score >= 6 THEN 'high' ELSE 'watch' END AS severity, "
+    "CASE WHEN z_score > 20 THEN '20+σ' ELSE printf('%.1fσ', z_score) END AS shown, row_number() OVER (ORDER BY z_score DESC, station, head, week_start) AS feed_rank, "
+    "CAST(floor((row_number() OVER (ORDER BY z_score DESC, station, head, week_start) - 1) * 60000.0 / greatest(least(count(*) OVER (), 30) - 1, 1) + 0.5) AS BIGINT) AS replay_offset_ms FROM b WHERE fir_count >= 3 AND fir_count > ucl_99 ORDER BY feed_rank LIMIT 30"
 )
 def command_feed(spark: SparkSession, d: str) -> DataFrame:
-    order = [F.col("z_score").desc(), F.col("station"), F.col("head"), F.col("week_start")]
-    top = baselines(incidents(spark, d)).filter("fir_count >= 3").orderBy(*order).limit(30)
-    return top.select("station", "head", "week_start", "fir_count", "z_score", S.severity(F.col("z_score")).alias("severity"), F.row_number().over(W.orderBy(*order)).cast("long").alias("feed_rank"))
-
-
-@query("WITH a AS (SELECT s_nationkey AS k FROM supplier), b AS (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 5000) (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL (SELECT k FROM b EXCEPT SELECT k FROM a)")
+    score = F.col("z_score") * T.severity_weight(F.col("head"))
+    order = [score.desc(), F.col("station"), F.col("head"), F.col("week_start")]
+    # Thirty rows at most from here on.
+    top = alerts(baselines(incidents(spark, d))).orderBy(*order).limit(30)
+    rank = F.row_number().over(W.orderBy(*order))
+    top = top.withColumn("feed_rank", rank.cast("long")).withColumn("n", F.count("*").over(W.partitionBy()))
+    offset = F.floor((F.col("feed_rank") - 1) * 60000.0 / F.greatest(F.col("n") - 1, F.lit(1)) + 0.5).cast("long")
+    shown = F.when(F.col("z_score") > 20, "20+σ").otherwise(F.format_string("%.1fσ", "z_score"))
+    return top.select("station", "head", "week_start", "fir_count", "ucl_99", "z_score", S.severity(F.col("z_score")).alias("severity"), shown.alias("shown"), "feed_rank", offset.alias("replay_offset_ms"))
+
+
+@query("WITH a AS (SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 3 = 0 AND s_nationkey <> 7), b AS (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 5000 AND c_nationkey % 4 <> 1) (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL (SELECT k FROM b EXCEPT SELECT k FROM a)")
 def symmetric_difference(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
-    return R.symmetric_difference(a, table(spark, d, "customer").filter("c_acctbal > 5000").select(F.col("c_nationkey").alias("k")))
+    a = table(spark, d, "supplier").filter("s_suppkey % 3 = 0 AND s_nationkey <> 7").select(F.col("s_nationkey").alias("k"))
+    return R.symmetric_difference(a, table(spark, d, "customer").filter("c_acctbal > 5000 AND c_nationkey % 4 <> 1").select(F.col("c_nationkey").alias("k")))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%G-W%V') AS iso_week, dayofweek(o_orderdate) AS dow, date_trunc('month', o_orderdate)::DATE AS month FROM orders")
@@ -243,15 +259,25 @@ def calendar_parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", S.iso_week(day).alias("iso_week"), (F.dayofweek(day) - 1).cast("long").alias("dow"), F.to_date(F.date_trunc("month", day)).alias("month"))
 
 
-@query("SELECT doc_id, substr(text, 1, 255) AS part_1, nullif(substr(text, 256, 255), '') AS part_2, nullif(substr(text, 511, 255), '') AS part_3 FROM documents WHERE text <> ''")
+@query("SELECT doc_id, k AS part, substr(text, CAST(k * 255 + 1 AS BIGINT), 255) AS said FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 255.0) AS BIGINT))) AS k FROM documents)")
 def chunk_255(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, d, "documents").filter("text <> ''").select("doc_id", *[S.chunk(t, k).alias(f"part_{k + 1}") for k in range(3)])
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(S.chunks(F.col("text"))).alias("part", "said"))
+    return rows.select("doc_id", F.col("part").cast("long").alias("part"), "said")
 
 
-@query("SELECT s_suppkey, CAST(CAST('0x' || substr(sha256('unit|' || s_suppkey), 1, 16) AS UBIGINT) % 1000000 AS BIGINT) AS slot FROM supplier")
+def _hmac(message: str) -> str:
+    block = H.SEED.ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in block).hex() for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"
+
+
+@query(
+    f"WITH h AS (SELECT s_suppkey, {_hmac("'1|slot|' || s_suppkey || '|unit'")} AS h FROM supplier) SELECT s_suppkey, CAST(CAST('0x' || substr(h, 1, 16) AS UBIGINT) % 1000000 AS BIGINT) AS slot, "
+    "floor(CAST(CAST('0x' || substr(h, 1, 16) AS UBIGINT) >> 11 AS DOUBLE) / 9007199254740992.0 * 1e9 + 0.5) / 1e9 AS draw FROM h"
+)
 def stable_index(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").select("s_suppkey", S.stable_index(F.concat(F.lit("unit|"), F.col("s_suppkey").cast("string")), 1_000_000).alias("slot"))
+    key = F.col("s_suppkey").cast("string")
+    return table(spark, d, "supplier").select("s_suppkey", H.stable_index("slot", key, "unit", 1_000_000).alias("slot"), S.half_up(H.unit_draw("slot", key, "unit"), 9).alias("draw"))
 
 
 @query("""WITH e AS (SELECT event_type, CAST(hour(ts) AS BIGINT) AS h, count(*) AS n FROM events GROUP BY ALL), g AS (SELECT h, sum(n) AS n FROM e GROUP BY h),
@@ -275,5 +301,6 @@ def similarity_topk(spark: SparkSession, d: str) -> DataFrame:
     targets = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("target"), F.col("label").alias("_label"), F.col("embedding").alias("t"))
     pairs = rows.join(targets, (F.col("label") == F.col("_label")) & (F.col("vec_id") != F.col("target")))
     scored = pairs.select("target", F.col("vec_id").alias("candidate"), F.round(S.cosine(F.col("t"), F.col("embedding")), 6).alias("score"))
+    # Ranks are limited to ten in each task before the shuffle.
     rank = F.row_number().over(W.partitionBy("target").orderBy(F.col("score").desc(), "candidate"))
     return scored.withColumn("r", rank.cast("long")).filter("r <= 10").select("target", "candidate", "r")

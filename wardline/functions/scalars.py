@@ -41,13 +41,19 @@ def calendar_date(y: Column, m: Column, d: Column) -> Column:
     return F.when(y.between(2000, 2100), made)
 
 
-def stable_uint64(key: Column) -> Column:
-    """The first eight bytes of SHA-256 as decimal(20,0)."""
-    return F.conv(F.substring(F.sha2(key, 256), 1, 16), 16, 10).cast("decimal(20,0)")
+def grade(total: Column) -> Column:
+    """The grade of a deployment's score."""
+    return F.when(total < 500, "Needs revision").when(total < 650, "Bronze").when(total < 790, "Silver").when(total < 900, "Gold").otherwise("Commissioner's Commendation")
 
 
-def stable_index(key: Column, n: int) -> Column:
-    return F.pmod(stable_uint64(key), F.lit(n).cast("decimal(20,0)")).cast("long")
+def clamp01(x: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+
+
+def chunks(c: Column, size: int = 255) -> Column:
+    """All chunks of a text in order; none for an empty one."""
+    n = F.ceil(F.length(c) / size).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(c, k * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
 def chunk(c: Column, k: int, size: int = 255) -> Column:
@@ -55,8 +61,10 @@ def chunk(c: Column, k: int, size: int = 255) -> Column:
     return F.nullif(F.substring(c, k * size + 1, size), F.lit(""))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """1 for two zero vectors, 0 for one."""
+def cosine(a: Column, b: Column, start: int | None = None, end: int | None = None) -> Column:
+    """1 for two zero vectors, 0 for one; of a slice of both where its ends are given."""
+    if start is not None and end is not None:
+        a, b = F.slice(a, start + 1, end - start), F.slice(b, start + 1, end - start)
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     na, nb = dot(a, a), dot(b, b)
     return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(dot(a, b) / (F.sqrt(na) * F.sqrt(nb)))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardline.operators.ordered import running
+from wardline.sources.scratch import Store
+
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each group; Spark filters by rank before the shuffle too."""
@@ -15,9 +18,9 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int =
 
 def top_or_other(counts: DataFrame, key: str, value: str, n: int) -> DataFrame:
     """The n largest keys and one row 'Other' for the rest."""
-    rank = F.row_number().over(W.orderBy(F.col(value).desc(), F.col(key)))
-    named = counts.withColumn("_key", F.when(rank <= n, F.col(key)).otherwise("Other"))
-    return named.groupBy(F.col("_key").alias(key)).agg(F.sum(value).cast("long").alias(value))
+    top = counts.orderBy(F.col(value).desc(), F.col(key)).limit(n).select(F.col(key).alias("_top"))
+    named = counts.join(F.broadcast(top), F.col(key) == F.col("_top"), "left")  # n rows
+    return named.groupBy(F.coalesce("_top", F.lit("Other")).alias(key)).agg(F.sum(value).cast("long").alias(value))
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -25,19 +28,22 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def gini(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(gini): of a column of one value per key; 0 for nothing."""
-    ranked = df.withColumn("_i", F.row_number().over(W.orderBy(value, key)))
+    """(gini): of a column of one value per key; 0 for nothing. Ranks are taken by ranges. The result is made when this is called."""
+    store = Store(df.sparkSession)
+    ranked = running(df, [F.col(value), F.col(key)], {}, store, "_i")
     n, total = F.count("*"), F.sum(value)
     g = 2 * F.sum(F.col("_i") * F.col(value)) / (n * total) - (n + 1) / n
-    return ranked.agg(F.coalesce(F.when(total != 0, g), F.lit(0.0)).alias("gini"))
-
-
-def nearest_rank(values: Column, f: float) -> Column:
-    """sorted[min(n - 1, floor(f * n))] of a column, as an aggregate of distinct values and their counts.
-
-    percentile_disc takes the least value whose cumulative share reaches p; a rank of floor(f * n) + 1 is the
-    count of values up to it, so the result follows from the sorted list in one task per group.
-    """
-    s = F.array_sort(F.collect_list(values))
-    n = F.size(s)
-    return F.element_at(s, F.least(n, (F.floor(F.lit(f) * n) + 1).cast("int")))
+    out = store.cut(ranked.agg(F.coalesce(F.when(total != 0, g), F.lit(0.0)).alias("gini")), "gini")
+    store.close(out)
+    return out
+
+
+def nearest_rank(df: DataFrame, keys: list[str], value: str, f: float, name: str) -> DataFrame:
+    """keys, name: sorted[min(n - 1, floor(f * n))] of each group, from the counts of distinct values and their running sum."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    by = W.partitionBy(*keys)
+    upto = F.sum("_n").over(by.orderBy(value))
+    whole = F.sum("_n").over(by)
+    ranked = counts.withColumn("_upto", upto).withColumn("_all", whole)
+    at = F.least(F.col("_all") - 1, F.floor(F.lit(f) * F.col("_all")))
+    return ranked.filter((F.col("_upto") > at) & (F.col("_upto") - F.col("_n") <= at)).select(*keys, F.col(value).alias(name))

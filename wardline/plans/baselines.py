@@ -1,42 +1,52 @@
-"""Weekly baselines of station and head: dense weeks, rolling moments, EWMA, season, dispersion and z."""
+"""Weekly baselines of station and head: dense weeks, rolling moments, EWMA, season, dispersion, control limit and z."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline.functions.scalars import half_up, iso_week
+from wardline.functions.stats import control_limit
 
 ALPHA = 0.25
 KEYS = ("station", "head")
 
 
+def _ewma(xs: Column) -> Column:
+    """The expected value of each week: the average before it, seeded with the first value, folded in order."""
+    start = F.struct(F.element_at(xs, 1).cast("double").alias("e"), F.array().cast("array<double>").alias("out"))
+    step = lambda acc, x: F.struct((F.lit(ALPHA) * x + F.lit(1 - ALPHA) * acc["e"]).alias("e"), F.concat(acc["out"], F.array(acc["e"])).alias("out"))
+    return F.aggregate(xs, start, step, lambda acc: acc["out"])
+
+
 def weekly_counts(incidents: DataFrame) -> DataFrame:
-    """One row for every week of each series between the first and the last week of all."""
+    """One row for every week of each series between the first and the last week of all, with the EWMA before it.
+
+    A series is dense within its own row, so that the whole plan deals rows out by series once.
+    """
     week = F.to_date(F.date_trunc("week", F.col("registered_on")))
-    counts = incidents.groupBy(*KEYS, week.alias("week_start")).agg(F.count("*").alias("fir_count"))
-    ends = counts.agg(F.min("week_start").alias("a"), F.max("week_start").alias("b"))
-    series = counts.select(*KEYS).distinct()
-    # One row of ends: its broadcast has a fixed size.
-    spine = series.join(F.broadcast(ends), F.lit(True)).select(*KEYS, F.explode(F.sequence("a", "b", F.expr("INTERVAL 7 DAYS"))).alias("week_start"))
-    return spine.join(counts, [*KEYS, "week_start"], "left").withColumn("fir_count", F.coalesce("fir_count", F.lit(0)).cast("long"))
+    counts = incidents.groupBy(*KEYS, week.alias("week_start")).agg(F.count("*").alias("n"))
+    ends = incidents.select(week.alias("w")).agg(F.min("w").alias("a"), F.max("w").alias("b"))
+    by = counts.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("week_start", "n"))).alias("seen"))
+    by = by.withColumn("a", ends.select("a").scalar()).withColumn("b", ends.select("b").scalar())
+    by = by.withColumn("weeks", F.sequence("a", "b", F.expr("INTERVAL 7 DAYS")))
+    xs = F.transform("weeks", lambda w: F.coalesce(F.try_element_at("seen", w), F.lit(0).cast("long")))
+    by = by.withColumn("xs", xs).withColumn("es", _ewma(F.col("xs")))
+    rows = by.select(*KEYS, F.explode(F.arrays_zip("weeks", "xs", "es")).alias("r"))
+    return rows.select(*KEYS, F.col("r.weeks").alias("week_start"), F.col("r.xs").alias("fir_count"), F.col("r.es").alias("expected"))
 
 
 def baselines(incidents: DataFrame) -> DataFrame:
     dense = weekly_counts(incidents).withColumn("iso_week", iso_week(F.col("week_start")))
-    by = W.partitionBy(*KEYS).orderBy("week_start")
-    past = by.rowsBetween(-52, -1)
+    past = W.partitionBy(*KEYS).orderBy("week_start").rowsBetween(-52, -1)
     x = F.col("fir_count")
     # Moments are kept as integers, so that variance and mean compare exactly.
     n, total, square = F.count(x).over(past), F.coalesce(F.sum(x).over(past), F.lit(0)), F.coalesce(F.sum(x * x).over(past), F.lit(0))
     df = dense.withColumn("window_observations", n).withColumn("_total", total).withColumn("_spread", n * square - total * total)
     n, total = F.col("window_observations"), F.col("_total")
     df = df.withColumn("mean_52", F.when(n > 0, total / n).otherwise(0.0)).withColumn("variance_52", F.when(n > 0, F.col("_spread") / (n * n)).otherwise(0.0))
-    # The expected count is the EWMA before this week: seeded with the first value, then folded in order.
-    before = F.collect_list(x.cast("double")).over(by.rowsBetween(W.unboundedPreceding, -1))
-    fold = F.aggregate(F.slice(before, 2, F.greatest(F.size(before), F.lit(1))), F.element_at(before, 1), lambda a, v: F.lit(ALPHA) * v + F.lit(1 - ALPHA) * a)
-    df = df.withColumn("expected_count", F.when(F.size(before) > 0, fold).otherwise(x.cast("double")))
+    df = df.withColumnRenamed("expected", "expected_count")
     season = F.substring("iso_week", 7, 2)
     whole = F.avg(x).over(W.partitionBy(*KEYS))
     df = df.withColumn("seasonality_index", F.when(whole > 0, F.avg(x).over(W.partitionBy(*KEYS, season)) / whole).otherwise(1.0))
@@ -44,5 +54,11 @@ def baselines(incidents: DataFrame) -> DataFrame:
     e = F.col("expected_count")
     spread = e + F.when(F.col("dispersion_r").isNotNull(), e * e / F.col("dispersion_r")).otherwise(0.0)
     df = df.withColumn("z_score", F.when(spread > 0, (x - e) / F.sqrt(spread)).otherwise(x.cast("double")))
+    df = df.withColumn("ucl_99", control_limit(e, F.col("dispersion_r")))
     rounded = [half_up(F.col(c), 6).alias(c) for c in ("mean_52", "variance_52", "expected_count", "seasonality_index", "dispersion_r", "z_score")]
-    return df.select(*KEYS, "week_start", "iso_week", "fir_count", "window_observations", *rounded)
+    return df.select(*KEYS, "week_start", "iso_week", "fir_count", "window_observations", *rounded, "ucl_99")
+
+
+def alerts(rows: DataFrame, least: int = 3) -> DataFrame:
+    """Weeks beyond their control limit with so many incidents at least."""
+    return rows.filter((F.col("fir_count") >= least) & (F.col("fir_count") > F.col("ucl_99")))
