@@ -54,7 +54,7 @@ DISGUISE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"
 #: Texts are scored in blocks of about so many characters.
 BLOCK = 1 << 17
 #: Labelled documents that the machine is fitted to, at most; half of each label.
-MAX_DOCS = 6000
+MAX_DOCS = 4000
 #: Windows of clean sentences in a fit, at most: a hash picks them, and the hardest of all come in each round.
 MAX_CLEAN = 12000
 
@@ -166,15 +166,16 @@ def some_of(x: Windows, ids: np.ndarray) -> Windows:
     """A few windows of x."""
     size = x.size[ids]
     first = np.cumsum(size) - size
-    return Windows(x.c[np.arange(size.sum()) + np.repeat(x.first[ids] - first, size)], np.repeat(np.arange(len(ids)), size), size, first, x.at[ids])
+    return Windows(x.c[np.arange(size.sum()) + np.repeat(x.first[ids] - first, size)].astype(np.int64), np.repeat(np.arange(len(ids)), size), size, first, x.at[ids])
 
 
-def dense(x: Windows) -> np.ndarray:
-    """Features of a few windows, those of landmarks."""
-    out = np.zeros((len(x.size), SIZE**3), np.float32)
+def dense(x: Windows) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a few windows, those of landmarks, and which subsequences their columns are."""
     own, what, weight = features(x)
-    np.add.at(out, (own, what), weight)
-    return out
+    columns, place = np.unique(what, return_inverse=True)
+    out = np.zeros((len(x.size), len(columns)), np.float32)
+    np.add.at(out, (own, place), weight)
+    return out, columns
 
 
 @dataclass
@@ -273,15 +274,15 @@ class Corpus:
                 hashes.append(np.add.reduceat(h ^ (h >> np.uint64(32)), x.first))
                 docs.append(np.full(len(x.size), k))
                 sentences.append(np.searchsorted([m.start() for m in _ENDS.finditer(text)], x.at))
-                parts.append(x)
+                parts.append((x.c.astype(np.int8), x.size))
         self.hash = np.zeros(0, np.uint64)
         if parts:
-            size = np.concatenate([x.size for x in parts])
-            whole = Windows(np.concatenate([x.c for x in parts]), np.zeros(0, np.int64), size, np.cumsum(size) - size, size * 0)
+            size = np.concatenate([n for _, n in parts])
+            whole = Windows(np.concatenate([c for c, _ in parts]), np.zeros(0, np.int64), size, np.cumsum(size) - size, size * 0)
             self.hash, first, self.window = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
             self.windows = some_of(whole, first)
             self.doc = np.concatenate(docs)
-            self.sentence = np.unique(np.stack([self.doc, np.concatenate(sentences)]), axis=1, return_inverse=True)[1]
+            self.sentence = self.doc << 32 | np.concatenate(sentences)
 
     def keep(self, docs: list[int]) -> None:
         there = np.isin(self.doc, docs)
@@ -293,28 +294,36 @@ class Kernel:
 
     def __init__(self, x: Windows):
         self.x, self.rows, self.marks = x, np.zeros(0, np.int64), []
-        self.phi = np.zeros((0, SIZE**3), np.float32)
         self.values = np.zeros((0, 0), np.float32)
 
-    def _values(self, rows: np.ndarray, phi: np.ndarray) -> np.ndarray:
-        out, columns = np.zeros((len(rows), len(phi)), np.float32), np.ascontiguousarray(phi.T)
-        for k in range(0, len(rows), 2000):
-            own, what, weight = features(some_of(self.x, rows[k : k + 2000]))
+    def _values(self, rows: np.ndarray, marks: list[int]) -> np.ndarray:
+        out = np.zeros((len(rows), len(marks)), np.float32)
+        if not len(rows) or not marks:
+            return out
+        phi, columns = dense(some_of(self.x, np.array(marks, np.int64)))
+        place = np.full(SIZE**3, -1, np.int32)
+        place[columns] = np.arange(len(columns))
+        table = np.ascontiguousarray(phi.T)
+        for k in range(0, len(rows), 500):
+            own, what, weight = features(some_of(self.x, rows[k : k + 500]))
+            at = place[what]
+            some = at >= 0
+            own, at, weight = own[some], at[some], weight[some]
             if len(own):
                 there, begin = np.unique(own, return_index=True)
-                out[k + there] = np.add.reduceat(columns[what] * weight[:, None].astype(np.float32), begin, axis=0)
+                out[k + there] = np.add.reduceat(table[at] * weight[:, None].astype(np.float32), begin, axis=0)
         return out
 
     def land(self, marks: list[int]) -> None:
         fresh = [i for i in dict.fromkeys(marks) if i not in set(self.marks)]
-        phi = dense(some_of(self.x, np.array(fresh, np.int64))) if fresh else self.phi[:0]
-        self.values = np.hstack([self.values, self._values(self.rows, phi)])
-        self.phi, self.marks = np.vstack([self.phi, phi]), self.marks + fresh
+        self.values = np.hstack([self.values, self._values(self.rows, fresh)])
+        self.marks = self.marks + fresh
+        self.phi, self.columns = dense(some_of(self.x, np.array(self.marks, np.int64)))
 
     def at(self, rows: np.ndarray) -> np.ndarray:
         fresh = np.setdiff1d(rows, self.rows)
         if len(fresh):
-            self.values = np.vstack([self.values, self._values(fresh, self.phi)])
+            self.values = np.vstack([self.values, self._values(fresh, self.marks)])
             self.rows = np.r_[self.rows, fresh]
         order = np.argsort(self.rows)
         return self.values[order[np.searchsorted(self.rows, rows, sorter=order)]].astype(np.float64)
@@ -334,10 +343,11 @@ def fit(rows: list[tuple[str, int]], landmarks: int = 96, rounds: int = 4, witne
     bags = np.split(corpus.hash[corpus.window], np.searchsorted(corpus.doc, np.arange(1, len(y))))
     corpus.keep(apart([np.unique(b) for b in bags], corpus.labels))
     x, count = corpus.windows, len(corpus.hash)
-    pairs = np.unique(np.stack([corpus.window, corpus.doc]), axis=1)
-    toxic = y[pairs[1]] > 0
-    inpos, inneg = np.bincount(pairs[0, toxic], minlength=count), np.bincount(pairs[0, ~toxic], minlength=count)
-    pos, neg = len(np.unique(pairs[1, toxic])), len(np.unique(pairs[1, ~toxic]))
+    pairs = np.unique(corpus.window << 32 | corpus.doc)
+    of_window, of_doc = pairs >> 32, pairs & 0xFFFFFFFF
+    toxic = y[of_doc] > 0
+    inpos, inneg = np.bincount(of_window[toxic], minlength=count), np.bincount(of_window[~toxic], minlength=count)
+    pos, neg = len(np.unique(of_doc[toxic])), len(np.unique(of_doc[~toxic]))
     if not pos or not neg:
         return None
     # How many standard errors a window's share of toxic documents is above that of clean ones.
@@ -367,7 +377,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = 96, rounds: int = 4, witne
             top = np.lexsort((corpus.hash, -tell))[:8]
             stands[top] = 1
         some = top[np.lexsort((corpus.hash[top], -tell[top]))][: 8 * landmarks]
-        marks = [int(some[i]) for i in spread(dense(some_of(x, some)), landmarks if k == 0 else landmarks // 3)]
+        marks = [int(some[i]) for i in spread(dense(some_of(x, some))[0], landmarks if k == 0 else landmarks // 3)]
         if k == 0:
             marks += often[: landmarks // 2].tolist()
         else:
@@ -383,7 +393,8 @@ def fit(rows: list[tuple[str, int]], landmarks: int = 96, rounds: int = 4, witne
         extra = b * np.isin(bad, hard)
         weight = np.r_[a / a.sum(), b / max(1.0, b.sum()) + extra / max(1.0, extra.sum())]
         w, bias = _hinge(np.vstack([kernel.at(top), kernel.at(bad)]) @ white, np.r_[np.ones(len(top)), -np.ones(len(bad))], weight, 3000.0)
-        weights = kernel.phi.T.astype(np.float64) @ (white @ w)
+        weights = np.zeros(SIZE**3)
+        weights[kernel.columns] = kernel.phi.T.astype(np.float64) @ (white @ w)
         rate = margins(x, weights, bias)
         hard = np.union1d(hard, clean[np.argsort(-rate[clean], kind="stable")[: max_clean // 8]])
     machine = Machine(weights.astype(np.float32), bias, float(np.quantile(rate[clean], 0.9)) if len(clean) else bias)
