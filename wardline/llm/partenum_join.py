@@ -611,14 +611,24 @@ class Join:
             fresh = store.cut(found.filter("b IS NOT NULL").join(done, ["a", "b"], "left_anti"), "fresh")
             if not fresh.isEmpty():
                 new = self.checked(fresh)
+                links = new.filter("linked")
+                if not links.isEmpty():
+                    # New links join components; what they join is named by its least.
+                    of = lambda x: links.select("a", "b").join(comps, F.col(x) == F.col("node"), "left").select("a", "b", F.coalesce("component", x).alias("c"))  # noqa: E731, B023
+                    ends = of("a").withColumnRenamed("c", "x").join(of("b").withColumnRenamed("c", "y"), ["a", "b"])
+                    merged = connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), store)
+                    fresh_nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comps, "node", "left_anti").select("node", F.col("node").alias("component"))
+                    known = comps.unionByName(fresh_nodes).join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+                    after = store.cut(known.select("node", F.coalesce("to", "component").alias("component")), "components")
+                    store.drop(comps)
+                    comps = after
                 all_ = store.cut(done.unionByName(new), "done")
-                old, done = (done, new, comps), all_
-                comps = store.cut(connected_components(done.filter("linked"), store), "components")
-                store.drop(*old)
+                store.drop(done, new)
+                done = all_
             store.drop(found, fresh)
             if more.isEmpty():
                 return comps, info.select("id", "n")
-            rows, most = store.cut(rows.join(more, "g", "left_semi"), "blocks"), 8 * most
+            rows, most = store.cut(rows.join(more, "g", "left_semi"), "blocks"), 32 * most
 
     def _across(self, rows: DataFrame, info: DataFrame, comps: DataFrame, most: int) -> DataFrame:
         members = rows.select("g", "block", "blocks", F.explode("ids").alias("id"))
