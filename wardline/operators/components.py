@@ -20,20 +20,22 @@ def connected_components(edges: DataFrame, store: Store, most_rounds: int = 60)
     """
     links = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
     pairs = store.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
+    link = lambda x, y: F.struct(x.alias("u"), y.alias("v"))
     for _ in range(most_rounds):
-        both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = pairs.unionAll(pairs.select(v.alias("u"), u.alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # Large star, on directed links u -> v with v > u.
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = store.cut(large.unionAll(both.filter("v < u").join(low, "u").filter("m = v").select("u", "v")).filter("u <> v").distinct(), "large")
+        # Large star: larger neighbours go to the least of the neighbourhood, and so does the node itself.
+        large = both.join(low, "u").select(F.when(v > u, link(v, m)).when(v == m, link(u, v)).alias("x"))
+        large = store.cut(large.select("x.*").filter("u <> v").distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         # Small star, on links u -> v with v < u: all of them and u to the least.
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        after = store.cut(small.filter("u <> v").distinct(), "small")
-        # Stars only: no node is both a centre and a leaf, and each leaf has one centre.
-        done = after.join(after.select(F.col("u").alias("x")), F.col("v") == F.col("x"), "left_semi").isEmpty()
+        small = large.join(low, "u").select(F.explode(F.array(link(v, m), link(u, m))).alias("x"))
+        after = store.cut(small.select("x.*").filter("u <> v").distinct(), "small")
         store.drop(pairs, large)
         pairs = after
-        if done and pairs.groupBy("u").count().filter("count > 1").isEmpty():
-            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(pairs.select("v", "v").distinct())
+        # Stars only: no node is both a centre and a leaf, and each leaf has one centre.
+        ends = pairs.select(F.explode(F.array(F.struct(u.alias("x"), F.lit(1).alias("leaf")), F.struct(v.alias("x"), F.lit(0).alias("leaf")))).alias("e")).select("e.*")
+        if ends.groupBy("x").agg(F.sum("leaf").alias("n"), F.min("leaf").alias("k")).filter("n > 1 OR (n > 0 AND k = 0)").isEmpty():
+            return pairs.select(u.alias("node"), v.alias("component")).unionAll(pairs.select("v", "v").distinct())
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
