@@ -342,6 +342,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = 96, rounds: int = 4, witne
     y = np.array(corpus.labels)
     bags = np.split(corpus.hash[corpus.window], np.searchsorted(corpus.doc, np.arange(1, len(y))))
     corpus.keep(apart([np.unique(b) for b in bags], corpus.labels))
+    del bags
     x, count = corpus.windows, len(corpus.hash)
     pairs = np.unique(corpus.window << 32 | corpus.doc)
     of_window, of_doc = pairs >> 32, pairs & 0xFFFFFFFF
@@ -350,6 +351,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = 96, rounds: int = 4, witne
     pos, neg = len(np.unique(of_doc[toxic])), len(np.unique(of_doc[~toxic]))
     if not pos or not neg:
         return None
+    del pairs, of_window, of_doc, toxic
     # How many standard errors a window's share of toxic documents is above that of clean ones.
     share = (inpos + inneg + 1) / (pos + neg + 1)
     tell = (inpos / pos - inneg / neg) / np.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
