@@ -1,16 +1,17 @@
 """Content-addressed WARC archive.
 
-`write` splits records in two tables of the shared folder. `payloads` holds each payload's bytes once, under its
-SHA-256; its SHA-1, the digest that WARC headers carry, is recomputed from the stored bytes when they are
-read. `records` holds each record's exact header blocks (WARC and HTTP) and its payload's digest. `read` joins
+`write` splits records in two. `payloads`, a table of the warehouse in buckets of the digest, holds each payload's
+bytes once, under its SHA-256; its SHA-1, the digest that WARC headers carry, is recomputed from the stored bytes when they are
+read. `records`, in the shared folder, holds each record's exact header blocks (WARC and HTTP) and its payload's digest. `read` joins
 them back to the original records, checks both digests, and `report` parses the records' bytes.
 
 Of records with equal payloads of `least` bytes or more, the one with the largest id is a response and the
 others revisits that refer to it, whose block in the WARC stream ends with the HTTP head; smaller ones are all
 responses.
 
-Payload copies are merged map-side before their shuffle. In the join back, records of a payload that many
-share are a hot partition, which Spark splits. Both tables are written through Spark's committer, so a lost
+Payload copies are merged map-side before their one shuffle; the join back goes bucket to bucket without moving
+them. Records of a payload that more than `HOT` share would be one task's: those payloads, few as each stands for
+many records, are moved in a join whose hot partitions Spark splits. The rows are the same either way. Both tables are written through Spark's committer, so a lost
 executor costs a task.
 
 Defined results: a null payload is empty; null urls give an empty target; rows that share the largest id (and
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from wardline.sources.scratch import Store
 
+#: Records of a payload that are joined within its bucket.
+HOT = 64
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -66,7 +69,7 @@ def headers(date: str) -> Column:
 
 
 class Archive:
-    """An archive of two tables in the shared folder."""
+    """An archive: a table of payloads in the warehouse, and a folder of records in the shared one."""
 
     def __init__(self, spark: SparkSession):
         self.store = Store(spark)
@@ -74,21 +77,28 @@ class Archive:
     def write(self, pages: DataFrame, least: int = 1000, date: str = "2024-01-01T00:00:00Z") -> Archive:
         body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
         rows = pages.select("page_id", "url", body.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
-        self.payloads = self.store.cut(rows.groupBy("sha256").agg(F.first("payload").alias("payload")), "warc-payloads")
+        spark, self.payloads = self.store.spark, self.store.table("payloads")
+        buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        store = rows.groupBy("sha256").agg(F.first("payload").alias("payload"), F.count("*").alias("copies"))
+        store.write.bucketBy(buckets, "sha256").sortBy("sha256").format("parquet").saveAsTable(self.payloads)
         self.store.drop()
         heads = rows.select("page_id", "url", "sha256", F.sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
         # The last record of each large payload: an aggregate with map-side combine, joined back.
-        first = heads.filter(F.col("payload_bytes") >= least).groupBy("sha256").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies"))
-        heads = heads.join(first.filter("copies > 1"), "sha256", "left")
-        revisit = F.col("first").isNotNull() & ~F.struct("page_id", "url").eqNullSafe(F.col("first"))
+        first = heads.groupBy("sha256").agg(F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("copies"))
+        heads = heads.join(first, "sha256")
+        revisit = (F.col("payload_bytes") >= least) & (F.col("copies") > 1)
         revisit &= ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
         heads = heads.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("head", http_head())
-        self.records = self.store.cut(heads.select("page_id", "sha256", "record_type", headers(date).alias("headers"), "head"), "warc-records")
+        self.records = self.store.cut(heads.select("page_id", "sha256", "copies", "record_type", headers(date).alias("headers"), "head"), "warc-records")
         return self
 
     def read(self) -> DataFrame:
         """page_id, headers, payload (whole, also of revisits), record (the WARC bytes): the records as they were written, both digests checked."""
-        both = self.records.join(self.payloads, "sha256")
+        spark = self.store.spark
+        where = spark.sql(f"DESCRIBE TABLE EXTENDED {self.payloads}").filter("col_name = 'Location'").first()["data_type"]
+        few, many = F.col("copies") <= HOT, F.col("copies") > HOT
+        both = self.records.filter(few).join(spark.table(self.payloads).filter(few).select("sha256", "payload").hint("merge"), "sha256")
+        both = both.unionByName(self.records.filter(many).join(spark.read.schema(spark.table(self.payloads).schema).parquet(where).filter(many).select("sha256", "payload"), "sha256"))
         said = F.regexp_extract("headers", "WARC-Payload-Digest: sha1:([0-9a-f]+)", 1)
         sound = (F.sha2("payload", 256) == F.col("sha256")) & (F.sha1("payload") == said)
         payload = F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("sha256"))).cast("binary"))
