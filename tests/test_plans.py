@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wardline.functions import geo, hashing, text
 from wardline.functions.stats import count_quantile
 from wardline.operators import graph, relational
+from wardline.operators.claims import claims
 from wardline.operators.ordered import running
 from wardline.plans import checks, patrol
 from wardline.plans.language import Filter, IncidentRequest, QueryError, TableQuery
@@ -142,3 +143,17 @@ def test_checks_and_replay(spark):
         checks.must(df, F.col("k") > 1, "too small").collect()
     found = checks.drift(df, {"k": ("int", True, None), "gone": ("string", True, 5)}).collect()
     assert sorted((r.column_name, r.fault) for r in found) == [("gone", "missing"), ("k", "is bigint"), ("replay_offset_ms", "extra")]
+
+
+def test_claims_are_those_of_one_after_the_other(spark):
+    rows = [(i, 2000 + i % 2) for i in range(60)]
+    draw = lambda i, probe: int.from_bytes(hashlib.md5(f"{i}|{probe}".encode()).digest()[:4], "big") % 40
+    taken = {}
+    for i, y in rows:
+        taken[(y, next(s for s in (draw(i, p) for p in range(64)) if (y, s) not in taken))] = i
+    df = spark.createDataFrame(rows, "id long, y int")
+    slot = lambda probe: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "id", probe)), 1, 8), 16, 10).cast("long"), F.lit(40))
+    assert {(r.y, r.slot): r.id for r in claims(df, slot, Store(spark)).collect()} == taken
+    assert claims(df.limit(0), slot, Store(spark)).isEmpty()
+    with pytest.raises(Exception, match="no free slot"):
+        claims(df, lambda probe: F.lit(1).cast("long") + 0 * probe, Store(spark), probes=3).collect()

@@ -247,10 +247,10 @@ def command_feed(spark: SparkSession, d: str) -> DataFrame:
     return top.select("station", "head", "week_start", "fir_count", "ucl_99", "z_score", S.severity(F.col("z_score")).alias("severity"), shown.alias("shown"), "feed_rank", offset.alias("replay_offset_ms"))
 
 
-@query("WITH a AS (SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 3 = 0 AND s_nationkey <> 7), b AS (SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 5000 AND c_nationkey % 4 <> 1) (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL (SELECT k FROM b EXCEPT SELECT k FROM a)")
+@query("WITH a AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000) (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL (SELECT k FROM b EXCEPT SELECT k FROM a)")
 def symmetric_difference(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "supplier").filter("s_suppkey % 3 = 0 AND s_nationkey <> 7").select(F.col("s_nationkey").alias("k"))
-    return R.symmetric_difference(a, table(spark, d, "customer").filter("c_acctbal > 5000 AND c_nationkey % 4 <> 1").select(F.col("c_nationkey").alias("k")))
+    a = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k"))
+    return R.symmetric_difference(a, table(spark, d, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("k")))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%G-W%V') AS iso_week, dayofweek(o_orderdate) AS dow, date_trunc('month', o_orderdate)::DATE AS month FROM orders")

@@ -105,10 +105,10 @@ def winsorised_quota(spark: SparkSession, d: str) -> DataFrame:
     return w.withColumn("all", w.agg(F.sum("v").alias("s")).scalar()).select("k", "n", "v", half_up(F.col("v") / F.col("all"), 9).alias("share"))
 
 
-@query("SELECT 'priority' AS what, count(*) AS differing FROM ((SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) EXCEPT ALL (SELECT o_orderpriority, count(*) FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1))")
+@query("SELECT 'priority' AS what, count(*) AS differing FROM ((SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) EXCEPT ALL (SELECT o_orderpriority, count(*) FROM orders WHERE o_orderstatus = 'F' GROUP BY 1))")
 def count_maps_differ(spark: SparkSession, d: str) -> DataFrame:
-    by = lambda r: table(spark, d, "orders").filter(f"o_orderkey % 2 = {r}").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
-    return by(0).exceptAll(by(1)).agg(F.lit("priority").alias("what"), F.count("*").alias("differing"))
+    by = lambda s: table(spark, d, "orders").filter(F.col("o_orderstatus") == s).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return by("O").exceptAll(by("F")).agg(F.lit("priority").alias("what"), F.count("*").alias("differing"))
 
 
 _PATHS = {"convicted": "registered>investigated>charged>tried>convicted", "acquitted": "registered>investigated>charged>tried>acquitted", "undetected": "registered>investigated>undetected", "transferred": "registered>transferred"}

@@ -11,6 +11,7 @@ from wardline.functions import hashing as H
 from wardline.functions import scalars as S
 from wardline.functions import text as T
 from wardline.operators import relational as R
+from wardline.operators.claims import claims
 from wardline.plans import patrol, places
 from wardline.plans.baselines import KEYS, alerts, baselines
 from wardline.sources.scratch import Store
@@ -76,18 +77,18 @@ _KM = "6371.0088::DOUBLE * 2 * atan2(sqrt(h), sqrt(1 - h))"
 
 @query(
     PLACED
-    + f""", a AS (SELECT incident_id, lat, lon FROM pl WHERE incident_id % 40 = 0), b AS (SELECT incident_id AS near, lat AS lat2, lon AS lon2 FROM pl WHERE incident_id % 40 <> 0),
-    p AS (SELECT *, pow(lat - lat2, 2) + pow(lon - lon2, 2) AS d FROM a JOIN b ON abs(floor(lat / 0.01::DOUBLE) - floor(lat2 / 0.01::DOUBLE)) <= 1 AND abs(floor(lon / 0.01::DOUBLE) - floor(lon2 / 0.01::DOUBLE)) <= 1 WHERE pow(lat - lat2, 2) + pow(lon - lon2, 2) <= 0.0002)
+    + f""", a AS (SELECT incident_id, lat, lon FROM pl WHERE incident_id % 50 = 0), b AS (SELECT incident_id AS near, lat AS lat2, lon AS lon2 FROM pl),
+    p AS (SELECT *, pow(lat - lat2, 2) + pow(lon - lon2, 2) AS d FROM a JOIN b ON abs(floor(lat / 0.01::DOUBLE) - floor(lat2 / 0.01::DOUBLE)) <= 1 AND abs(floor(lon / 0.01::DOUBLE) - floor(lon2 / 0.01::DOUBLE)) <= 1 WHERE near <> incident_id AND pow(lat - lat2, 2) + pow(lon - lon2, 2) <= 0.0002)
     SELECT incident_id, arg_min(near, (d, near)) AS near, floor(min(d) * 1e12 + 0.5) / 1e12 AS distance FROM p GROUP BY incident_id"""
 )
 def join_nearest_grid(spark: SparkSession, d: str) -> DataFrame:
     rows = places.placed(incidents(spark, d))
     grid = lambda c: F.floor(F.col(c) / 0.01)
-    a = rows.filter("incident_id % 40 = 0").select("incident_id", "lat", "lon", F.explode(F.sequence(grid("lat") - 1, grid("lat") + 1)).alias("gy"), grid("lon").alias("gx0"))
+    a = rows.filter("incident_id % 50 = 0").select("incident_id", "lat", "lon", F.explode(F.sequence(grid("lat") - 1, grid("lat") + 1)).alias("gy"), grid("lon").alias("gx0"))
     a = a.select("incident_id", "lat", "lon", "gy", F.explode(F.sequence(F.col("gx0") - 1, F.col("gx0") + 1)).alias("gx"))
-    b = rows.filter("incident_id % 40 <> 0").select(F.col("incident_id").alias("near"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), grid("lat").alias("gy"), grid("lon").alias("gx"))
+    b = rows.select(F.col("incident_id").alias("near"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), grid("lat").alias("gy"), grid("lon").alias("gx"))
     gap = F.pow(F.col("lat") - F.col("lat2"), 2) + F.pow(F.col("lon") - F.col("lon2"), 2)
-    best = a.join(b, ["gy", "gx"]).withColumn("d", gap).filter("d <= 0.0002").groupBy("incident_id").agg(F.min(F.struct("d", "near")).alias("m"))
+    best = a.join(b, ["gy", "gx"]).withColumn("d", gap).filter("d <= 0.0002 AND near <> incident_id").groupBy("incident_id").agg(F.min(F.struct("d", "near")).alias("m"))
     return best.select("incident_id", "m.near", S.half_up(F.col("m.d"), 12).alias("distance"))
 
 
@@ -190,13 +191,14 @@ def baseline_reduction(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-_DEMAND = f"""{PLACED}, dm AS (SELECT 'day' || incident_id % 2 AS scenario, substr(cell, 3) AS cell, station AS beat, sum(pow(0.5, date_diff('day', registered_on, DATE '{WINDOW_END}') / 365.25)) AS demand FROM pl WHERE registered_on <= DATE '{WINDOW_END}' AND division = 'ASIA' AND incident_id % 11 = 0 GROUP BY ALL)"""
+_DEMAND = f"""{PLACED}, dm AS (SELECT station AS scenario, substr(cell, 3) AS cell, crime_group AS beat, sum(pow(0.5, date_diff('day', registered_on, DATE '{WINDOW_END}') / 365.25)) AS demand FROM pl WHERE registered_on <= DATE '{WINDOW_END}' GROUP BY ALL)"""
 
 
 def _demand(spark: SparkSession, d: str) -> DataFrame:
     end = F.lit(WINDOW_END).cast("date")
-    rows = places.placed(incidents(spark, d)).filter((F.col("registered_on") <= end) & (F.col("division") == "ASIA") & (F.col("incident_id") % 11 == 0))
-    keys = [F.concat(F.lit("day"), (F.col("incident_id") % 2).cast("string")).alias("scenario"), F.substring("cell", 3, 40).alias("cell"), F.col("station").alias("beat")]
+    # A scenario is a station: its incidents lie in some 120 cells, however many they are.
+    rows = places.placed(incidents(spark, d)).filter(F.col("registered_on") <= end)
+    keys = [F.col("station").alias("scenario"), F.substring("cell", 3, 40).alias("cell"), F.col("crime_group").alias("beat")]
     return rows.groupBy(*keys).agg(F.sum(F.pow(F.lit(0.5), F.datediff(end, "registered_on") / 365.25)).alias("demand"))
 
 
@@ -238,13 +240,18 @@ def dispatch_simulation(spark: SparkSession, d: str) -> DataFrame:
     return patrol.dispatches(demand.select("scenario", number.alias("event"), event.alias("minute"), F.lit(20).alias("service"), "cell"), posts, times)
 
 
-@query(f"""WITH c AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, CAST(CAST('0x' || substr({_hmac("'1|case_ref|' || o_orderkey || '|0'")}, 1, 16) AS UBIGINT) % 1000000 AS BIGINT) AS draw FROM orders)
-    SELECT id, 'DEMO-' || y || '-' || lpad(draw::VARCHAR, 6, '0') AS ref FROM (SELECT *, row_number() OVER (PARTITION BY y, draw ORDER BY id) AS r FROM c) WHERE r = 1""")
+_PROBE = _hmac("'1|case_ref|' || id || '|' || probe")
+
+
+@query(f"""WITH RECURSIVE c(k, id, y, probe, slot) AS (
+      SELECT 0, id, y, probe, CAST(CAST('0x' || substr({_PROBE}, 1, 16) AS UBIGINT) % 1000000 AS BIGINT) FROM (SELECT o_orderkey AS id, year(o_orderdate) AS y, 0 AS probe FROM orders)
+      UNION ALL SELECT k + 1, id, y, probe, CAST(CAST('0x' || substr({_PROBE}, 1, 16) AS UBIGINT) % 1000000 AS BIGINT)
+        FROM (SELECT k, id, y, probe + CAST(row_number() OVER (PARTITION BY y, slot ORDER BY id) > 1 AS INTEGER) AS probe FROM c WHERE k < 12))
+    SELECT id, 'DEMO-' || y || '-' || lpad(slot::VARCHAR, 6, '0') AS ref FROM c WHERE k = 12""")
 def case_references(spark: SparkSession, d: str) -> DataFrame:
-    """First draws that no smaller id has; the others probe again (`case_refs` in tests)."""
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("y"), H.stable_index("case_ref", F.col("o_orderkey").cast("string"), "0", 1_000_000).alias("draw"))
-    first = rows.groupBy("y", "draw").agg(F.min("id").alias("id"))
-    return first.select("id", F.concat(F.lit("DEMO-"), F.col("y").cast("string"), F.lit("-"), F.lpad(F.col("draw").cast("string"), 6, "0")).alias("ref"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("y"))
+    claimed = claims(rows, lambda probe: H.stable_index("case_ref", F.col("id").cast("string"), probe.cast("string"), 1_000_000), Store(spark))
+    return claimed.select("id", F.concat(F.lit("DEMO-"), F.col("y").cast("string"), F.lit("-"), F.lpad(F.col("slot").cast("string"), 6, "0")).alias("ref"))
 
 
 @query(f"""SELECT p_partkey, array_to_string(list_transform(range(0, 32), lambda i: CASE WHEN list_contains(slots, i) THEN 1 ELSE 0 END), '') AS bits FROM (

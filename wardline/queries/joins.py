@@ -95,10 +95,10 @@ def join_fuzzy_token_set(spark: SparkSession, d: str) -> DataFrame:
     return R.top_per_group(scored, ["x"], [F.col("ratio").desc(), F.col("y")], 3).withColumn("ratio", F.floor(F.col("ratio") * 1e9 + 0.5) / 1e9)
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem) SELECT a, b, s_name, p_name, s_suppkey IS NULL OR p_partkey IS NULL AS orphan FROM e LEFT JOIN supplier ON a = s_suppkey AND s_suppkey % 10 <> 3 LEFT JOIN part ON b = p_partkey""")
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem) SELECT a, b, s_name, p_name, s_suppkey IS NULL OR p_partkey IS NULL AS orphan FROM e LEFT JOIN supplier ON a = s_suppkey AND s_acctbal > 0 LEFT JOIN part ON b = p_partkey""")
 def edge_endpoints(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
-    left = table(spark, d, "supplier").filter("s_suppkey % 10 <> 3")
+    left = table(spark, d, "supplier").filter("s_acctbal > 0")
     both = edges.join(left, F.col("a") == F.col("s_suppkey"), "left").join(table(spark, d, "part"), F.col("b") == F.col("p_partkey"), "left")
     return both.select("a", "b", "s_name", "p_name", (F.col("s_suppkey").isNull() | F.col("p_partkey").isNull()).alias("orphan"))
 

@@ -98,12 +98,12 @@ def json_and_parts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "p.k", again.alias("again"), F.substring(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), 12, 2).cast("long").alias("hour"))
 
 
-@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 10 = 0), p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.v AS x, b.v AS y FROM e a JOIN e b ON a.vec_id + 10 = b.vec_id)
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.v AS x, b.v AS y FROM e a JOIN e b ON a.vec_id + 1 = b.vec_id)
     SELECT a, b, floor(list_cosine_similarity(x[1:32], y[1:32]) * 1e6 + 0.5) / 1e6 AS sections, floor(list_cosine_similarity(x[33:44], y[33:44]) * 1e6 + 0.5) / 1e6 AS premise, floor(list_cosine_similarity(x[57:64], y[57:64]) * 1e6 + 0.5) / 1e6 AS weapon FROM p""")
 def cosine_slices(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").filter("vec_id % 10 = 0")
+    rows = table(spark, d, "embeddings")
     b = rows.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    pairs = rows.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(b, F.col("a") + 10 == F.col("b"))
+    pairs = rows.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(b, F.col("a") + 1 == F.col("b"))
     cut = lambda i, j: S.half_up(S.cosine(F.col("x"), F.col("y"), i, j), 6)
     return pairs.select("a", "b", cut(0, 32).alias("sections"), cut(32, 44).alias("premise"), cut(56, 64).alias("weapon"))
 
