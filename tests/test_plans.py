@@ -157,3 +157,64 @@ def test_claims_are_those_of_one_after_the_other(spark):
     assert claims(df.limit(0), slot, Store(spark)).isEmpty()
     with pytest.raises(Exception, match="no free slot"):
         claims(df, lambda probe: F.lit(1).cast("long") + 0 * probe, Store(spark), probes=3).collect()
+
+
+def test_crosswalk_tiers(spark):
+    from wardline.plans.crosswalk import crosswalk
+
+    units = [("t", "Alpha Beta PS", 3), ("t", "Alpha Beta Police Station", 2), ("t", "Beta Alpha", 1), ("t", "City Traffic PS", 9), ("t", "Gamma", 4), ("t", "Ruled", 1), ("t", "Zzz", 1), ("u", "Alone", 5), ("t", "Zzz", 1), ("t", None, 1)]
+    stations = [("t", "1", "ALPHA BETA"), ("t", "2", "Beta-Alpha"), ("t", "3", "Delta Row"), ("t", "4", "Omega")]
+    rules = spark.createDataFrame([("Ruled", True, "4")], "unit string, rule_territorial boolean, rule_code string")
+    points = spark.createDataFrame([("t", "gamma ps", "3")], "territory string, name string, code string")
+    df = lambda rows, s: spark.createDataFrame(rows, s)
+    rows = crosswalk(df(units, "territory string, unit string, fir_count long"), df(stations, "territory string, code string, name string"), rules, points).collect()
+    got = {(r.territory, r.unit): (r.station_code, r.tier, r.coverage, r.fir_count) for r in rows}
+    assert got == {
+        # The first by code points has the station; the next of the same name goes by words, and the third finds both gone.
+        ("t", "Alpha Beta PS"): ("1", "normalized_exact", "mapped", 3),
+        ("t", "Alpha Beta Police Station"): ("2", "token_set", "mapped", 2),
+        ("t", "Beta Alpha"): (None, "UNRESOLVED", "outside_polygon_set", 1),
+        ("t", "City Traffic PS"): (None, "non_territorial", "non_territorial", 9),
+        ("t", "Gamma"): ("3", "point_in_polygon", "mapped", 4),
+        ("t", "Ruled"): ("4", "override", "mapped", 1),
+        ("t", "Zzz"): (None, "UNRESOLVED", "outside_polygon_set", 2),
+        ("u", "Alone"): (None, "UNRESOLVED", "outside_polygon_set", 5),
+    }
+    assert len({r.row_code for r in rows}) == len(rows) and all(r.row_code.startswith("NT-") for r in rows if r.tier == "non_territorial")
+
+
+def test_packing_takes_the_station_that_is_filled_least(spark):
+    from wardline.plans.crosswalk import packed
+
+    districts = [(f"d{i}", i * 7 % 11 + 1) for i in range(30)]
+    quota = {"a": 10.0, "b": 20.0, "c": 20.0}
+    rows = packed(spark.createDataFrame(districts, "district string, n long"), spark.createDataFrame(list(quota.items()), "code string, quota double"), hashing.SEED).collect()
+    load = dict.fromkeys(quota, 0)
+    given = {r.district: r.code for r in rows}
+    for name, n in sorted(districts, key=lambda x: (-x[1], x[0])):
+        assert (load[given[name]] + n) / quota[given[name]] == min((load[c] + n) / quota[c] for c in quota)
+        load[given[name]] += n
+    assert sum(load.values()) == sum(n for _, n in districts)
+
+
+def test_hours_donors_and_scores(spark):
+    from wardline.functions import travel
+
+    hours = spark.range(-1, 25).select(F.col("id"), travel.band(F.col("id")).alias("b"), travel.multiplier(F.col("id")).alias("m")).collect()
+    assert {r.id for r in hours if r.b == "morning_rush"} == {7, 8, 9} and {r.m for r in hours if r.b == "evening_rush"} == {3.3333} and hours[0].m == 2.6506
+    assert one(spark, travel.clock_hour(F.lit(20), F.lit(359))) == 1
+    crime = lambda s: tuple(one(spark, text.donor_crime(F.lit(s))))
+    assert crime("Burglary from vehicle") == ("property_crime", "theft_from_vehicle") and crime("burglary") == ("property_crime", "burglary")
+    assert crime("PETTY odd (x), $950 & over") == ("other_incident", "odd_x") and crime(None) == ("other_incident", "other")
+    assert one(spark, text.donor_category(F.lit("Cyber"), F.lit("theft"))) is None and one(spark, text.donor_category(F.lit(None), F.lit("theft"))) == "property_crime"
+    assert tuple(one(spark, text.donor_premise(F.lit("")))) == ("unknown", "built_other") and one(spark, text.donor_weapon(F.lit("big stick"))) == "blunt_object"
+    assert one(spark, text.donor_status(F.lit("ZZ"))) is None and one(spark, text.donor_sex(F.lit("ZZ"))) == "other_or_unknown"
+    df = lambda rows, s: spark.createDataFrame(rows, s)
+    demand = df([("s", "a", "x", 3.0), ("s", "b", "y", 1.0)], "scenario string, cell string, beat string, demand double")
+    times = df([("s", p, q, 0.0 if p == q else 600.0) for p in "ab" for q in "ab"], "scenario string, origin string, dest string, seconds double")
+    posts = df([("s", "u", "b", "a"), ("s", "v", "b", None)], "scenario string, unit string, start string, cell string")
+    events = df([("s", "a", 0), ("s", "b", 0)], "scenario string, cell string, minute long")
+    got = patrol.scores(demand, times, posts, events, 5.0, 1, 8, rain=True).first()
+    slow = 10 * 1.35 * math.floor(44 / 14.6 * 1e4 + 0.5) / 1e4
+    assert (got.coverage, got.equity, got.reserve, got.km) == (0.75, 0.5, 1, pytest.approx(4.002)) and got.p50 == got.p90 == pytest.approx(slow)
+    assert got.total == math.floor(300 + 0 + 75 + 100 + 100 * (1 - 4.002 / 80) + 0.5) and got.grade == "Bronze"

@@ -54,6 +54,15 @@ TIME_BANDS = ("late_night", "early_morning", "morning", "afternoon", "evening",
 SEVERITY = {1.5: "murder|rape|dacoity|terror|explosive", 1.25: "robbery|kidnap|automobile|weapon|sexual", 1.15: "information technology|cyber|dowry|criminal intimidation"}
 
 
+#: A word's edge where only ASCII letters, digits and _ make words; what the engine takes for one varies by its version.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def edged(pattern: str) -> str:
+    """The pattern with ASCII edges."""
+    return pattern.replace(r"\b", EDGE)
+
+
 def fold(c: Column) -> Column:
     """The key of a label for comparison."""
     return F.lower(label(c))
@@ -62,7 +71,7 @@ def fold(c: Column) -> Column:
 def normal_name(c: Column) -> Column:
     """A unit's name without accents, case, punctuation and words that all units have. Accents of Latin letters go."""
     plain = F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    plain = F.regexp_replace(F.replace(plain, F.lit("&"), F.lit("and")), r"\b(?:police|station|ps|traffic)\b", "")
+    plain = F.regexp_replace(F.replace(plain, F.lit("&"), F.lit("and")), edged(r"\b(?:police|station|ps|traffic)\b"), "")
     return F.regexp_replace(plain, "[^a-z0-9]", "")
 
 
@@ -101,14 +110,14 @@ def premise(c: Column) -> Column:
     text = F.coalesce(c, F.lit(""))
     rules = iter(PREMISES.items())
     name, words = next(rules)
-    first = F.when(text.rlike(rf"(?i)\b(?:{words})\b"), name)
-    return reduce(lambda acc, rule: acc.when(text.rlike(rf"(?i)\b(?:{rule[1]})\b"), rule[0]), rules, first).otherwise("outdoor")
+    first = F.when(text.rlike(edged(rf"(?i)\b(?:{words})\b")), name)
+    return reduce(lambda acc, rule: acc.when(text.rlike(edged(rf"(?i)\b(?:{rule[1]})\b")), rule[0]), rules, first).otherwise("outdoor")
 
 
 def weapons(text: Column) -> Column:
     """Hints of weapons, sorted."""
     upper = F.upper(F.coalesce(text, F.lit("")))
-    has = lambda words: upper.rlike(rf"\b(?:{words})\b")
+    has = lambda words: upper.rlike(edged(rf"\b(?:{words})\b"))
     found = F.array_compact(F.array(*[F.when(has(words), name) for name, words in WEAPONS.items()]))
     return F.when(F.size(found) > 0, F.array_sort(found)).when(has(OTHER_WEAPON), F.array(F.lit("other_weapon"))).otherwise(found)
 
@@ -183,3 +192,136 @@ def severity_weight(head: Column) -> Column:
 def one_hot(slots: Column, size: int) -> Column:
     """An array of size zeros with ones at slots."""
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(F.array_contains(slots, i.cast("long")), 1.0).otherwise(0.0))
+
+
+#: Words of an offence's group and head, and the category that the first of them to fit decides; none for the first.
+CATEGORIES = (
+    ("CYBER|MISSING PERSON", None),
+    ("NARCOTIC|DRUG|NDPS", "drug_offence"),
+    ("ARMS|WEAPON|EXPLOSIVE", "weapons_offence"),
+    ("RAPE|MOLEST|POCSO|SEX|PORNOGRAPH|MODESTY", "sexual_offence"),
+    ("CRUELTY|DOWRY|MARRIAGE|CHILD|INFANT|FAMILY", "family_child_offence"),
+    ("ROBBERY|DACOITY|MURDER|HOMICIDE|HURT|ASSAULT|KIDNAP|CONFINEMENT", "violent_crime"),
+    ("THEFT|BURGLARY|ARSON|MISCHIEF|STOLEN PROPERTY", "property_crime"),
+    ("CHEAT|FRAUD|FORGER|COUNTERFEIT|BREACH OF TRUST|IMPERSONATION", "fraud_cyber_crime"),
+    ("PUBLIC|POLICE ACT|CRPC|TRAFFIC|ACCIDENT|NEGLIGEN|RIOT|AFFRAY|TRESPASS|NUISANCE|COURT|ELECTION", "public_order"),
+)
+#: Words of a premise's description, its category and broad kind.
+DONOR_PREMISES = (
+    ("BUS|METRO|TRAIN|RAIL|AIRPORT|TRANSPORT|STATION|TERMINAL", "transit", "transit"),
+    ("SINGLE FAMILY|MULTI-UNIT|APARTMENT|DWELLING|RESIDENCE|CONDOMINIUM|PORCH|YARD|GARAGE|CARPORT|HOTEL|MOTEL", "residential", "residential"),
+    ("SCHOOL|COLLEGE|UNIVERSITY|HOSPITAL|CLINIC|CHURCH|TEMPLE|MOSQUE|GOVERNMENT|PARK|LIBRARY|COURT|POLICE|FIRE STATION", "public_institutional", "public_institutional"),
+    ("STREET|SIDEWALK|ALLEY|DRIVEWAY|PARKING|BEACH|OPEN AREA|UNDERPASS|BRIDGE", "outdoor", "outdoor"),
+    ("VEHICLE|TAXI|TRUCK|AUTOMOBILE", "vehicle", "outdoor"),
+    ("STORE|SHOP|MARKET|BUSINESS|RESTAURANT|BAR|CAFE|BANK|OFFICE|MALL|THEATRE|WAREHOUSE|FACTORY|PHARMACY|GAS STATION", "commercial", "commercial"),
+)
+#: Words of a weapon's description and its kind.
+DONOR_WEAPONS = (
+    ("GUN|RIFLE|SHOTGUN|REVOLVER|PISTOL|FIREARM", "firearm"),
+    ("KNIFE|BLADE|MACHETE|SWORD|SCISSORS|RAZOR", "sharp_object"),
+    ("CLUB|BAT|STICK|ROD|HAMMER|BLUNT|BRASS KNUCKLES", "blunt_object"),
+    ("VEHICLE", "vehicle"),
+    ("BOMB|EXPLOSIVE", "explosive"),
+    ("CHEMICAL|POISON|GAS|FIRE|BURN", "chemical_or_fire"),
+    ("HANDS|FIST|FEET|BODILY FORCE", "physical_force"),
+)
+#: A case's status and a victim's sex by their codes.
+DONOR_STATUS = {"IC": "under_investigation", "AA": "arrest_made", "JA": "arrest_made", "AO": "closed_other", "JO": "closed_other", "CC": "unknown", "": "unknown"}
+DONOR_SEX = {"M": "male", "F": "female", "X": "other_or_unknown", "H": "other_or_unknown", "-": "other_or_unknown", "": "unknown"}
+
+
+def _first(c: Column, rules: list[tuple[str, Column]], otherwise: Column) -> Column:
+    """The value of the first rule whose words stand in c."""
+    has = lambda words: c.rlike(edged(rf"\b(?:{words})\b"))
+    words, value = rules[0]
+    return reduce(lambda acc, r: acc.when(has(r[0]), r[1]), rules[1:], F.when(has(words), value)).otherwise(otherwise)
+
+
+def donor_category(group: Column, head: Column) -> Column:
+    """The category of an offence; null for cyber offences and missing people."""
+    c = F.upper(F.concat_ws(" ", F.coalesce(group, F.lit("")), F.coalesce(head, F.lit(""))))
+    return _first(c, [(words, F.lit(name).cast("string")) for words, name in CATEGORIES], F.lit("other_incident"))
+
+
+def donor_premise(c: Column) -> Column:
+    """struct<category, broad> of a premise's description."""
+    text, kind = F.upper(F.coalesce(c, F.lit(""))), lambda a, b: F.struct(F.lit(a).alias("category"), F.lit(b).alias("broad"))
+    return F.when(text == "", kind("unknown", "built_other")).otherwise(_first(text, [(words, kind(a, b)) for words, a, b in DONOR_PREMISES], kind("built_other", "built_other")))
+
+
+def donor_weapon(c: Column) -> Column:
+    """The kind of a weapon; '' where nothing is said."""
+    text = F.upper(F.coalesce(c, F.lit("")))
+    return F.when(text == "", "").otherwise(_first(text, [(words, F.lit(name)) for words, name in DONOR_WEAPONS], F.lit("other_weapon")))
+
+
+def _by_code(c: Column, known: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.coalesce(c, F.lit("")))
+
+
+def donor_status(c: Column) -> Column:
+    """A case's status by its code; null for one that isn't listed."""
+    return _by_code(c, DONOR_STATUS)
+
+
+def donor_sex(c: Column) -> Column:
+    """A victim's sex by its code."""
+    return F.coalesce(_by_code(c, DONOR_SEX), F.lit("other_or_unknown"))
+
+
+#: Patterns of an offence's description in the order in which they decide, its category and subcategory.
+CRIMES = (
+    (r"\b(?:HOMICIDE|MANSLAUGHTER)\b", "violent_crime", "homicide"),
+    (r"\bHUMAN TRAFFICKING\b", "violent_crime", "human_trafficking"),
+    (r"\b(?:CHILD NEGLECT|CHILD ABUSE|CHILD PORNOGRAPHY|CHILD ABANDONMENT|CHILD STEALING|CHILD ANNOYING|CRM AGNST CHLD|CONTRIBUTING)\b", "family_child_offence", "child_related_offence"),
+    (r"\b(?:INTIMATE PARTNER|DOMESTIC)\b", "family_child_offence", "domestic_violence"),
+    (r"\b(?:RAPE|SEX|SEXUAL|SODOMY|LEWD|INDECENT|ORAL COPULATION|PENETRATION)\b", "sexual_offence", "sexual_offence"),
+    (r"\b(?:PIMPING|PANDERING)\b", "sexual_offence", "sexual_exploitation"),
+    (r"\b(?:KIDNAPP|ABDUCTION)", "violent_crime", "kidnapping"),
+    (r"\bFALSE IMPRISONMENT\b", "violent_crime", "unlawful_confinement"),
+    (r"\bROBBERY\b", "violent_crime", "robbery"),
+    (r"\bASSAULT|BATTERY|SHOTS FIRED|DISCHARGE FIREARM|LYNCHING|THROWING OBJECT\b", "violent_crime", "assault"),
+    (r"\bARSON\b", "property_crime", "arson"),
+    (r"\bBURGLARY\b", "property_crime", "burglary"),
+    (r"\bVEHICLE-RELATED\b", "property_crime", "vehicle_related_offence"),
+    (r"\bVEHICLE\b.*\bSTOLEN\b|\bSTOLEN VEHICLE\b", "property_crime", "vehicle_theft"),
+    (r"\bIDENTITY|FRAUD|FORGERY|COUNTERFEIT|EMBEZZLEMENT|CREDIT CARD|EXTORTION|BUNCO|DOCUMENT WORTHLESS|DEFRAUDING\b", "fraud_cyber_crime", "fraud"),
+    (r"\bCYBER|COMPUTER|ELECTRONIC\b", "fraud_cyber_crime", "cybercrime"),
+    (r"\bTHEFT FROM MOTOR VEHICLE\b", "property_crime", "theft_from_vehicle"),
+    (r"\bSHOPLIFT", "property_crime", "shoplifting"),
+    (r"\bTHEFT|STOLEN|PICKPOCKET|PURSE SNATCH|BIKE|DRUNK ROLL|TILL TAP\b", "property_crime", "theft"),
+    (r"\bVANDALISM|DAMAGE|TRAIN WRECK\b", "property_crime", "property_damage"),
+    (r"\bWEAPON|FIREARM|BOMB|EXPLOSIVE\b", "weapons_offence", "weapons_offence"),
+    (r"\bDRUG|NARCOTIC\b", "drug_offence", "drug_offence"),
+    (r"\bTRESPASS", "public_order", "trespass"),
+    (r"\bTHREAT|STALK|HARASS\b", "public_order", "threat_or_harassment"),
+    (r"\bRESTRAINING ORDER|COURT ORDER|CONTEMPT|PROTECTIVE ORDER|REGISTRANT OUT OF COMPLIANCE\b", "public_order", "order_violation"),
+    (r"\b(?:RECKLESS DRIVING|FAILURE TO YIELD|DRIVING WITHOUT OWNER CONSENT)\b", "public_order", "traffic_offence"),
+    (r"\b(?:RESISTING ARREST|FALSE POLICE REPORT|BRIBERY|CONSPIRACY)\b", "public_order", "justice_or_corruption_offence"),
+    (r"\b(?:RIOT|FAILURE TO DISPERSE|DISTURBING THE PEACE|DISRUPT SCHOOL|BLOCKING DOOR)\b", "public_order", "public_disorder"),
+    (r"\b(?:PEEPING TOM|PROWLER|LETTERS, LEWD)\b", "public_order", "privacy_or_harassment_offence"),
+    (r"\bILLEGAL DUMPING\b", "public_order", "illegal_dumping"),
+    (r"\bCRUELTY TO ANIMALS|BEASTIALITY\b", "other_incident", "animal_related_offence"),
+    (r"\bBIGAMY|INCEST\b", "family_child_offence", "family_related_offence"),
+    (r"\bMISSING\b", "other_incident", "missing_person"),
+)
+#: What a label loses, in order: amounts, degrees, and then all but letters and digits.
+LABEL_CUTS = ((r"(?i)\$\s*[\d,.]+(?:\s*&?\s*(?:OVER|UNDER))?", ""), (r"(?i)\b(?:FELONY|MISDEMEANOR|GRAND|PETTY)\b", ""), (r"\s+", " "), (r"\s+([,;:)])", "$1"), (r"[(]\s*[)]", ""))
+
+
+def clean_label(c: Column) -> Column:
+    """A description as a name: without amounts and degrees, small letters and digits with _ between."""
+    plain = reduce(lambda acc, cut: F.regexp_replace(acc, edged(cut[0]), cut[1]), LABEL_CUTS, F.coalesce(c, F.lit("")))
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(plain)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def donor_crime(c: Column) -> Column:
+    """struct<category, subcategory> of an offence's description; what no pattern fits is an incident named by its label."""
+    upper = F.upper(F.coalesce(c, F.lit("")))
+
+    def kind(pattern: str, a: str, b: str) -> Column:
+        stolen = F.contains(upper, F.lit("VEHICLE")) & F.lit(b == "burglary")
+        return F.struct(F.lit(a).alias("category"), F.when(stolen, "theft_from_vehicle").otherwise(b).alias("subcategory"))
+
+    other = F.struct(F.lit("other_incident").alias("category"), F.coalesce(F.nullif(clean_label(c), F.lit("")), F.lit("other")).alias("subcategory"))
+    return reduce(lambda acc, r: acc.when(upper.rlike(edged(r[0])), kind(*r)), CRIMES[1:], F.when(upper.rlike(edged(CRIMES[0][0])), kind(*CRIMES[0]))).otherwise(other)

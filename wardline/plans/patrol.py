@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import wardline.sources.scratch  # noqa: F401  (functions travel whole)
-from wardline.functions.scalars import haversine_km
+from wardline.functions import travel
+from wardline.functions.scalars import clamp01, grade, haversine_km
+from wardline.operators.relational import nearest_rank as rank_of
 
 #: Budgets of seconds that coverage is kept for.
 BUDGETS = (180, 300, 420, 600, 900)
@@ -148,3 +150,41 @@ def dispatches(events: DataFrame, posts: DataFrame, times: DataFrame) -> DataFra
         return pd.DataFrame({"scenario": group["scenario"], "event": group["event"], "unit": [u for u, _, _ in found], "response": [r for _, r, _ in found], "result": [x for _, _, x in found]})
 
     return e.groupBy("scenario").applyInPandas(run, "scenario string, event long, unit string, response double, result string")
+
+
+#: Fixed value: km that a second of travel stands for.
+KM_A_SECOND = 0.00667
+
+
+def scores(demand: DataFrame, times: DataFrame, posts: DataFrame, events: DataFrame, target: float, wanted: int, start_hour: int, rain: bool = False, closure: bool = False) -> DataFrame:
+    """A row for each scenario: points of its deployment, and what they are made of.
+
+    demand (scenario, cell, beat, demand), times (scenario, origin, dest, seconds), posts (scenario, unit, start,
+    cell; no cell: in reserve), events (scenario, cell, minute). target: minutes to reach a cell; wanted: units in reserve.
+    An event that no unit reaches takes three times the target. Congestion is that of each event's hour.
+    """
+    active = posts.filter("cell IS NOT NULL").select("scenario", "unit", F.col("cell").alias("origin"), "start")
+    near = times.join(active.select("scenario", "origin").distinct(), ["scenario", "origin"]).groupBy("scenario", F.col("dest").alias("cell")).agg(F.min("seconds").alias("seconds"))
+    covered = F.coalesce(F.col("seconds") <= target * 60, F.lit(False))
+    hit = demand.join(near, ["scenario", "cell"], "left").withColumn("hit", F.when(covered, F.col("demand")).otherwise(0.0))
+    beats = hit.groupBy("scenario", "beat").agg(F.sum("hit").alias("hit"), F.sum("demand").alias("all"))
+    # A scenario's beats are few.
+    shares = F.array_sort(F.collect_list(F.coalesce(F.try_divide("hit", "all"), F.lit(0.0))))
+    by = beats.groupBy("scenario").agg(F.try_divide(F.sum("hit"), F.sum("all")).alias("coverage"), shares.alias("shares"))
+    n, total = F.size("shares"), F.aggregate("shares", F.lit(0.0), lambda a, v: a + v)
+    weighted = F.aggregate(F.transform("shares", lambda v, i: (i + 1) * v), F.lit(0.0), lambda a, v: a + v)
+    by = by.withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).withColumn("equity", 1 - F.when(total == 0, 0.0).otherwise(2 * weighted / (n * total) - (n + 1) / n)).drop("shares")
+    factor = (travel.RAIN if rain else 1.0) * (travel.CLOSURE if closure else 1.0)
+    minutes = F.col("seconds") * factor * travel.multiplier(travel.clock_hour(F.lit(start_hour), F.col("minute"))) / 60
+    responses = events.join(near, ["scenario", "cell"], "left").select("scenario", F.coalesce(minutes, F.lit(3.0 * target)).alias("response"))
+    there = active.join(times.withColumnRenamed("origin", "start").withColumnRenamed("dest", "origin"), ["scenario", "start", "origin"], "left")
+    km = there.groupBy("scenario").agg(F.sum(F.coalesce(F.col("seconds") * KM_A_SECOND, F.lit(0.0))).alias("km"))
+    reserve = posts.groupBy("scenario").agg(F.count_if(F.col("cell").isNull()).alias("reserve"))
+    for more in (rank_of(responses, ["scenario"], "response", 0.5, "p50"), rank_of(responses, ["scenario"], "response", 0.9, "p90"), km, reserve):
+        by = by.join(more, "scenario", "left")
+    by = by.fillna(0, ["p50", "p90", "km", "reserve"])
+    kept = clamp01(F.col("reserve") / wanted) if wanted > 0 else F.lit(1.0)
+    response = 150 * (1 - clamp01(F.col("p50") / target)) + 100 * (1 - clamp01(F.col("p90") / (1.75 * target)))
+    points = 400 * F.col("coverage") + response + 150 * F.col("equity") + 100 * kept + 100 * (1 - clamp01(F.col("km") / 80))
+    by = by.withColumn("total", F.floor(points + 0.5).cast("long"))
+    return by.select("scenario", "total", grade(F.col("total")).alias("grade"), "coverage", "p50", "p90", "equity", "reserve", "km")
