@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from wardline.llm import (
     chat_events,
+    late_sessions,
     partenum_join,
     pii_feistel,
+    positional_index,
+    prefix_trie,
     quality_divergence,
     secret_ledger,
     source_mixing,
@@ -82,10 +85,20 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_events.digest(chat_events.render(chat_events.fold(log)))
 
 
-QUERIES: dict[str, Query] = {
-    f.__name__: f
-    for f in (op1_secret_scans, op2_ngram_jaccard, op3_warc, op4_pii, op5_embedding_dedup, op6_quality_rules, op7_toxicity, op8_mixing, op9_sentencepiece, op10_chat)
-}
+def op11_late_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return late_sessions.versions(late_sessions.events_of(table(spark, sf_dir, "conversations")))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+_ALL = (op1_secret_scans, op2_ngram_jaccard, op3_warc, op4_pii, op5_embedding_dedup, op6_quality_rules, op7_toxicity, op8_mixing, op9_sentencepiece, op10_chat, op11_late_sessions, op12_decontamination, op13_prefix_trie)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _REACH = """
