@@ -129,6 +129,17 @@ _KINDS = (
     ("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 1),
 )
 
+
+
+def _crc(said: str) -> str:
+    """CRC-32 of a text of digits, bit by bit."""
+    bit = "list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, z: CASE WHEN p & 1 = 1 THEN xor(p >> 1, 3988292384) ELSE p >> 1 END)"
+    codes = f"list_transform(range(1, length({said}) + 1), lambda i: unicode(substr({said}, i, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, x: {bit}), 4294967295)"
+
+
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
 SQL: dict[str, str] = {
     "op1_secret_scans": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -185,6 +196,49 @@ SQL: dict[str, str] = {
           CASE WHEN payload_bytes >= 1000 AND page_id <> f THEN f END AS refers_to
         FROM m
     """,
+    "op11_late_sessions": f"""
+        WITH k AS (SELECT conv_id::VARCHAR AS k, conv_id || ':' || turn AS kt, conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        c AS (SELECT conv_id, turn, {_crc("k")} AS c, {_crc("kt")} AS h FROM k),
+        s AS (SELECT 2 * CAST(floor(conv_id / 8) AS BIGINT) + c % 2 AS u, c // 2 % 7200 + 300 * turn + h % 600 AS t, h FROM c),
+        e AS (SELECT u, t, h, CAST(floor(t / 1800) AS BIGINT) + CASE WHEN h // 600 % 5 = 0 THEN h // 600 % 4 ELSE 0 END AS batch FROM s),
+        p AS (SELECT DISTINCT u, batch AS b FROM e),
+        f AS (SELECT e.*, b, CASE WHEN t - lag(t) OVER (PARTITION BY u, b ORDER BY t) <= 240 THEN 0 ELSE 1 END AS fresh FROM p JOIN e USING (u) WHERE batch <= b),
+        i AS (SELECT *, sum(fresh) OVER (PARTITION BY u, b ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM f),
+        v AS (SELECT u, b, min(t) AS s, max(t) AS e, count(*) AS n, count(*) FILTER (WHERE batch = b) AS n_new, CAST(sum(h) AS BIGINT) AS h FROM i GROUP BY u, b, k HAVING count(*) FILTER (WHERE batch = b) > 0),
+        r AS (SELECT v.*, min(w.b) AS rb, arg_min(w.s, w.b) AS rs FROM v LEFT JOIN v w ON w.u = v.u AND w.b > v.b AND w.s <= v.s AND w.e >= v.e GROUP BY ALL),
+        x AS (SELECT u, rb, rs, count(*) AS n FROM r WHERE rb IS NOT NULL GROUP BY ALL)
+        SELECT r.u AS "user", b AS batch, s AS start_s, e AS end_s, r.n AS n_events, n_new, coalesce(x.n, 0) AS n_retracted, h AS h_sum, r.rb AS retracted_batch, r.rs AS retracted_start_s
+        FROM r LEFT JOIN x ON x.u = r.u AND x.rb = b AND x.rs = s
+    """,
+    "op12_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+        b AS (SELECT item_id::VARCHAR AS item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {_TERMS} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+        v AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+        g AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM v))),
+        f AS (SELECT r, i, n, item_id FROM g JOIN v USING (n, x)),
+        h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM f) GROUP BY r),
+        m AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM f) GROUP BY r)
+        SELECT doc_id, len(coalesce(w, [])) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (r) LEFT JOIN m USING (r)
+    """,
+    "op13_prefix_trie": f"""
+        WITH o AS (
+          SELECT conv_id AS c, conv_id::VARCHAR AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text
+          FROM conversations WHERE conv_id IS NOT NULL
+        ), m AS (SELECT c, c - c % 5 AS base, {_crc("k")} % 9 AS h FROM (SELECT DISTINCT c, k FROM o)),
+        t AS (SELECT m.c, o.i, role, text FROM m JOIN o ON o.c = base AND o.i <= h UNION ALL SELECT c, o.i, role, text FROM m JOIN o USING (c) WHERE o.i > h),
+        p AS (
+          SELECT c, row_number() OVER w AS d, octet_length(encode(text)) AS bytes, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w) AS x FROM t WINDOW w AS (PARTITION BY c ORDER BY i)
+          UNION ALL SELECT c, 0, 0, '' FROM m
+        ), n AS (SELECT x, any_value(d) AS d, min(c) AS c, count(*) AS n, any_value(bytes) AS bytes FROM p GROUP BY x),
+        e AS (SELECT DISTINCT a.x, b.x AS up FROM p a JOIN p b ON a.c = b.c AND b.d = a.d - 1),
+        l AS (SELECT up AS x, count(*) AS n FROM e GROUP BY up),
+        q AS (SELECT DISTINCT a.x AS up, b.x FROM p a JOIN p b ON a.c = b.c AND a.d <= b.d),
+        z AS (SELECT up AS x, count(*) FILTER (WHERE l.n IS NULL) AS leaves, CAST(sum((n.n - 1) * bytes) AS BIGINT) AS saved FROM q JOIN n USING (x) LEFT JOIN l USING (x) GROUP BY up),
+        y AS (SELECT x, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS s FROM (SELECT c, arg_max(x, d) AS x FROM p GROUP BY c) GROUP BY x)
+        SELECT n.c AS conv_id, n.d AS depth, u.c AS parent_conv_id, n.n AS n_convs, coalesce(l.n, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, coalesce(y.s, sha256('')) AS ends_sha256
+        FROM n LEFT JOIN e USING (x) LEFT JOIN n u ON u.x = e.up LEFT JOIN l ON l.x = n.x JOIN z ON z.x = n.x LEFT JOIN y ON y.x = n.x
+    """,
     "op10_chat": """
         WITH c AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -36,14 +36,19 @@ GAP = 240
 PARTS = 16
 
 
+def _floor(x: str, n: int) -> Column:
+    """floor(x / n) of whole numbers, exact for large and negative ones."""
+    return F.expr(f"({x} - pmod({x}, {n})) div {n}")
+
+
 def events_of(conversations: DataFrame) -> DataFrame:
     """(user, t, batch, h) of conversation turns, as the registered query defines them."""
     crc = lambda x: F.crc32(x.cast("string").cast("binary"))
     rows = conversations.select(F.col("conv_id").cast("long").alias("id"), F.col("turn").cast("long").alias("turn")).filter("turn IS NOT NULL AND id IS NOT NULL")
     rows = rows.withColumn("c", crc(F.col("id"))).withColumn("h", crc(F.concat_ws(":", "id", "turn")))
     rows = rows.withColumn("g", F.expr("h div 600")).withColumn("t", F.expr("(c div 2) % 7200 + 300 * turn + h % 600"))
-    user = F.expr("2 * CAST(floor(id / 8) AS BIGINT) + c % 2")
-    batch = F.expr("CAST(floor(t / 1800) AS BIGINT)") + F.when(F.col("g") % 5 == 0, F.col("g") % 4).otherwise(0)
+    user = 2 * _floor("id", 8) + F.col("c") % 2
+    batch = _floor("t", 1800) + F.when(F.col("g") % 5 == 0, F.col("g") % 4).otherwise(0)
     return rows.select(user.alias("user"), "t", batch.alias("batch"), "h")
 
 
@@ -116,7 +121,7 @@ def versions(events: DataFrame, gap: int = GAP) -> DataFrame:
     """user, batch, start_s, end_s, n_events, n_new, n_retracted, h_sum, retracted_batch, retracted_start_s: a row for each version of a session."""
     store, width = Store(events.sparkSession), gap * PARTS
     points = events.filter("user IS NOT NULL AND t IS NOT NULL AND batch IS NOT NULL").groupBy("user", "t", "batch").agg(F.count("*").alias("n"), F.sum(F.coalesce("h", F.lit(0))).alias("h"))
-    points = store.cut(points.withColumn("part", F.floor(F.col("t") / width)), "points")
+    points = store.cut(points.withColumn("part", _floor("t", width)), "points")
     moments = points.groupBy("user", "part", "t").agg(F.min("batch").alias("birth"))
     cut = store.cut(cuts(moments, gap, width), "cuts")
     seen = matched(points, cut, store)
