@@ -13,7 +13,7 @@ from wardline.functions import scalars as S
 from wardline.functions import text as T
 from wardline.operators import relational as R
 from wardline.operators import text_search
-from wardline.plans.baselines import alerts, baselines, weekly_counts
+from wardline.plans.baselines import baselines, weekly_counts
 from wardline.sources.tables import incidents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,17 +209,18 @@ _BASELINE = (
         avg(x) OVER (PARTITION BY station, head) AS whole, avg(x) OVER (PARTITION BY station, head, iso_week[7:8]) AS season
       FROM dense WINDOW p AS (PARTITION BY station, head ORDER BY week_start ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING)
     ), v AS (
-      SELECT *, CASE WHEN k > 0 THEN s / k ELSE 0 END AS mu, CASE WHEN k > 0 THEN nvar / (k * k) ELSE 0 END AS var, CASE WHEN len(before) > 0 THEN list_reduce(before, lambda a, y: 0.25::DOUBLE * y + 0.75::DOUBLE * a) ELSE x::DOUBLE END AS e FROM w
-    ), r AS (SELECT *, CASE WHEN nvar > k * s AND s > 0 THEN s * s / (nvar - k * s) END AS disp FROM v),
+      SELECT *, CASE WHEN k > 0 THEN s / k ELSE 0 END AS mu, CASE WHEN k > 0 THEN nvar / (k * k) ELSE 0 END AS var, CASE WHEN whole > 0 THEN season / whole ELSE 1 END AS si,
+        CASE WHEN len(before) > 0 THEN list_reduce(before, lambda a, y: 0.25::DOUBLE * y + 0.75::DOUBLE * a) END AS old FROM w
+    ), y AS (SELECT *, coalesce(old, 0) * si AS e, CASE WHEN old IS NULL THEN x::DOUBLE ELSE 0.25::DOUBLE * x + 0.75::DOUBLE * old END AS ewma FROM v    ), r AS (SELECT *, CASE WHEN nvar > k * s AND s > 0 THEN s * s / (nvar - k * s) END AS disp FROM y),
     z AS (SELECT *, e + CASE WHEN disp IS NOT NULL THEN e * e / disp ELSE 0 END AS spread FROM r),
     q AS (
       SELECT e, disp, min(k) AS ucl FROM (
         SELECT e, disp, k, sum(exp(CASE WHEN disp IS NULL OR disp > 1e6 THEN k * ln(e) - e - lgamma(k + 1) ELSE lgamma(k + disp) - lgamma(disp) - lgamma(k + 1) + disp * ln(disp / (disp + e)) + k * ln(e / (disp + e)) END)) OVER (PARTITION BY e, disp ORDER BY k) AS share
-        FROM (SELECT DISTINCT e, disp FROM r WHERE e > 0), range(200) t(k)
+        FROM (SELECT DISTINCT e, disp FROM r WHERE e > 0), range(400) t(k)
       ) WHERE share >= 0.99 GROUP BY e, disp
     )
     SELECT station, head, week_start, iso_week, x AS fir_count, k AS window_observations, floor(mu * 1e6 + 0.5) / 1e6 AS mean_52, floor(var * 1e6 + 0.5) / 1e6 AS variance_52,
-      floor(z.e * 1e6 + 0.5) / 1e6 AS expected_count, floor(CASE WHEN whole > 0 THEN season / whole ELSE 1 END * 1e6 + 0.5) / 1e6 AS seasonality_index,
+      floor((ewma + 1e-9::DOUBLE) * 1e6 + 0.5) / 1e6 AS ewma, floor((z.e + 1e-9::DOUBLE) * 1e6 + 0.5) / 1e6 AS expected_count, floor(si * 1e6 + 0.5) / 1e6 AS seasonality_index,
       floor(z.disp * 1e6 + 0.5) / 1e6 AS dispersion_r, floor(CASE WHEN spread > 0 THEN (x - z.e) / sqrt(spread) ELSE x END * 1e6 + 0.5) / 1e6 AS z_score, coalesce(ucl, 0) AS ucl_99
     FROM z LEFT JOIN q ON q.e = z.e AND q.disp IS NOT DISTINCT FROM z.disp"""
 )
@@ -230,23 +231,6 @@ def weekly_baseline(spark: SparkSession, d: str) -> DataFrame:
     return baselines(incidents(spark, d))
 
 
-@query(
-    f"WITH b AS ({_BASELINE}) SELECT station, head, week_start, fir_count, ucl_99, z_score, CASE WHEN z_score >= 10 THEN 'critical' WHEN z_score >= 6 THEN 'high' ELSE 'watch' END AS severity, "
-    "CASE WHEN z_score > 20 THEN '20+σ' ELSE printf('%.1fσ', z_score) END AS shown, row_number() OVER (ORDER BY z_score DESC, station, head, week_start) AS feed_rank, "
-    "CAST(floor((row_number() OVER (ORDER BY z_score DESC, station, head, week_start) - 1) * 60000.0 / greatest(least(count(*) OVER (), 30) - 1, 1) + 0.5) AS BIGINT) AS replay_offset_ms FROM b WHERE fir_count >= 3 AND fir_count > ucl_99 ORDER BY feed_rank LIMIT 30"
-)
-def command_feed(spark: SparkSession, d: str) -> DataFrame:
-    score = F.col("z_score") * T.severity_weight(F.col("head"))
-    order = [score.desc(), F.col("station"), F.col("head"), F.col("week_start")]
-    # Thirty rows at most from here on.
-    top = alerts(baselines(incidents(spark, d))).orderBy(*order).limit(30)
-    rank = F.row_number().over(W.orderBy(*order))
-    top = top.withColumn("feed_rank", rank.cast("long")).withColumn("n", F.count("*").over(W.partitionBy()))
-    offset = F.floor((F.col("feed_rank") - 1) * 60000.0 / F.greatest(F.col("n") - 1, F.lit(1)) + 0.5).cast("long")
-    shown = F.when(F.col("z_score") > 20, "20+σ").otherwise(F.format_string("%.1fσ", "z_score"))
-    return top.select("station", "head", "week_start", "fir_count", "ucl_99", "z_score", S.severity(F.col("z_score")).alias("severity"), shown.alias("shown"), "feed_rank", offset.alias("replay_offset_ms"))
-
-
 @query("WITH a AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 5000) (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL (SELECT k FROM b EXCEPT SELECT k FROM a)")
 def symmetric_difference(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k"))

@@ -13,7 +13,7 @@ from wardline.functions import text as T
 from wardline.operators import relational as R
 from wardline.operators.claims import claims
 from wardline.plans import patrol, places
-from wardline.plans.baselines import KEYS, alerts, baselines
+from wardline.plans.baselines import KEYS, alerts, baselines, feed, moments
 from wardline.sources.scratch import Store
 from wardline.sources.tables import incidents, table
 
@@ -181,12 +181,43 @@ def cyber_wing(spark: SparkSession, d: str) -> DataFrame:
     return by.agg(F.count("*").alias("n"), closed.alias("closed"), (F.floor(closed * 10000.0 / F.count("*") + 0.5) / 100).alias("closed_percent"), F.bool_and("in_window").alias("whole_window"), (~F.bool_and("in_window")).alias("partial_window"))
 
 
-@query(f"WITH b AS ({_BASELINE}) SELECT b.station, b.head, count(*) AS weeks, CAST(sum(fir_count) AS BIGINT) AS n FROM b SEMI JOIN (SELECT station, head FROM b WHERE fir_count >= 3 AND fir_count > ucl_99) a ON a.station = b.station AND a.head = b.head GROUP BY ALL")
+#: Series of regions and segments, whose names say how grave they are: busy enough for alerts.
+_REGIONAL = _BASELINE.replace("n_name AS station, r_name AS division, o_orderpriority AS head", "r_name AS station, r_name AS division, c_mktsegment AS head")
+_SINCE = "1997-01-01"
+_WEIGHT = "CAST(CASE " + " ".join(f"WHEN regexp_matches(lower(head), '{w}') THEN {k}" for k, w in T.SEVERITY.items()) + " ELSE 1 END AS DOUBLE)"
+
+
+def _regional(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("station", F.col("division")).withColumn("head", F.col("crime_group"))
+
+
+@query(
+    f"""WITH b AS ({_REGIONAL}), p AS ({PLACED} SELECT division AS station, avg(lat) FILTER (WHERE ok) AS latitude, avg(lon) FILTER (WHERE ok) AS longitude, count(*) FILTER (WHERE ok) AS coordinate_records
+      FROM (SELECT *, lat BETWEEN 12.7 AND 13.2 AND lon BETWEEN 77.35 AND 77.85 AS ok FROM pl) GROUP BY division),
+    h AS (SELECT *, array_to_string(list(fir_count) OVER (PARTITION BY station, head ORDER BY week_start ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), ',') AS history, {_WEIGHT} AS weight FROM b),
+    a AS (SELECT *, z_score * weight AS score FROM h WHERE week_start >= DATE '{_SINCE}' AND fir_count >= 5 AND fir_count > ucl_99),
+    t AS (SELECT *, row_number() OVER (ORDER BY score DESC, week_start DESC, station, head) AS k FROM a)
+    SELECT 'alert-' || lpad(k::VARCHAR, 2, '0') AS alert_id, head AS title, station, week_start, fir_count AS observed_count, floor(expected_count * 10 + 0.5) / 10 AS expected_count, ucl_99, floor(z_score * 100 + 0.5) / 100 AS z_score,
+      CASE WHEN z_score > 20 THEN '20+σ' ELSE regexp_replace((floor(z_score * 10 + 0.5) / 10)::VARCHAR, '\\.0$', '') || 'σ' END AS shown, weight AS severity_weight, floor(score * 100 + 0.5) / 100 AS rank_score,
+      CASE WHEN score >= 10 THEN 'critical' WHEN score >= 6 THEN 'high' ELSE 'watch' END AS severity, history, floor(latitude * 1e6 + 0.5) / 1e6 AS latitude, floor(longitude * 1e6 + 0.5) / 1e6 AS longitude, coalesce(coordinate_records, 0) AS coordinate_records,
+      CAST(floor((k - 1) * 60000.0 / 29 + 0.5) AS BIGINT) AS replay_offset_ms FROM t LEFT JOIN p USING (station) WHERE k <= 30"""
+)
+def command_feed(spark: SparkSession, d: str) -> DataFrame:
+    spots = places.placed(incidents(spark, d)).withColumn("ok", geo.usable(F.col("lat"), F.col("lon")))
+    mean = lambda c: F.avg(F.when(F.col("ok"), F.col(c)))
+    spots = spots.groupBy(F.col("division").alias("station")).agg(mean("lat").alias("latitude"), mean("lon").alias("longitude"), F.count_if("ok").alias("coordinate_records"))
+    return feed(moments(_regional(incidents(spark, d))), spots, T.severity_weight, S.severity, _SINCE)
+
+
+@query(f"""WITH b AS ({_REGIONAL}) SELECT b.station, b.head, count(*) AS weeks, CAST(sum(fir_count) AS BIGINT) AS n, 0::BIGINT AS drift
+    FROM b SEMI JOIN (SELECT station, head FROM b WHERE fir_count >= 5 AND fir_count > ucl_99) a ON a.station = b.station AND a.head = b.head GROUP BY ALL""")
 def baseline_reduction(spark: SparkSession, d: str) -> DataFrame:
+    """Series that ever alert, whole; drift counts alerts that the reduced table has otherwise than the whole one."""
     store = Store(spark)
-    rows = store.cut(baselines(incidents(spark, d)), "baselines")
-    kept = rows.join(alerts(rows).select(*KEYS).distinct(), list(KEYS), "left_semi")
-    out = store.cut(kept.groupBy(*KEYS).agg(F.count("*").alias("weeks"), F.sum("fir_count").alias("n")), "reduced")
+    rows = store.cut(baselines(_regional(incidents(spark, d))), "baselines")
+    kept = store.cut(rows.join(alerts(rows).select(*KEYS).distinct(), list(KEYS), "left_semi"), "kept")
+    drift = R.symmetric_difference(alerts(rows), alerts(kept).select(*rows.columns)).agg(F.count("*").alias("n"))
+    out = store.cut(kept.groupBy(*KEYS).agg(F.count("*").alias("weeks"), F.sum("fir_count").alias("n")).withColumn("drift", drift.scalar()), "reduced")
     store.close(out)
     return out
 
