@@ -164,6 +164,12 @@ def token_ratio(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2 * shared / (F.size(x) + F.size(y)))
 
 
+def name_keys(c: Column) -> Column:
+    """What two names share if their ratio is above 0: whole words, and the first five letters of words that have so many."""
+    words = _tokens(c)
+    return F.array_distinct(F.concat(F.transform(words, lambda t: F.concat(F.lit("="), t)), F.transform(F.filter(words, lambda t: F.length(t) >= 5), lambda t: F.substring(t, 1, 5))))
+
+
 def edit_ratio(a: Column, b: Column) -> Column:
     """1 less the edit distance of two normal names over the longer one; 0 if one is empty."""
     x, y = normal_name(a), normal_name(b)

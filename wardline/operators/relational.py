@@ -47,3 +47,12 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, f: float, name: str
     ranked = counts.withColumn("_upto", upto).withColumn("_all", whole)
     at = F.least(F.col("_all") - 1, F.floor(F.lit(f) * F.col("_all")))
     return ranked.filter((F.col("_upto") > at) & (F.col("_upto") - F.col("_n") <= at)).select(*keys, F.col(value).alias(name))
+
+
+def tree_digest(rows: DataFrame, width: int, levels: int) -> DataFrame:
+    """(n, digest) of rows (key, said) in order of whole-number keys: SHA-256 of each run of `width` keys, line by line, then of runs of those digests, `levels` in all, and of what is left. The last step has n / width ** levels rows."""
+    by = rows.select(F.col("key").cast("long"), F.col("said").alias("h"), F.lit(1).cast("long").alias("n"))
+    whole = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("key", "h"))), lambda x: x["h"]), "\n"), 256)
+    for _ in range(levels):
+        by = by.groupBy(F.floor(F.col("key") / width).alias("up")).agg(whole.alias("h"), F.sum("n").alias("n")).withColumnRenamed("up", "key")
+    return by.agg(F.sum("n").alias("n"), whole.alias("digest"))

@@ -10,6 +10,7 @@ from wardline.catalogue import INCIDENTS, _hmac, query
 from wardline.functions import hashing as H
 from wardline.functions.scalars import half_up
 from wardline.operators import relational as R
+from wardline.operators.graph import longest_depths
 from wardline.operators.ordered import running
 from wardline.sources.scratch import Store
 from wardline.sources.tables import incidents, table
@@ -75,10 +76,16 @@ def first_two_per_stratum(spark: SparkSession, d: str) -> DataFrame:
     return R.top_per_group(incidents(spark, d).select(F.explode(strata).alias("stratum"), "incident_id"), ["stratum"], [F.col("incident_id")], 2)
 
 
-@query("SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(n_nationkey || chr(31) || n_name || chr(31) || n_regionkey), 1, 12) AS BIGINT)) AS BIGINT) AS digest FROM nation")
+_SAID = "o_orderkey || chr(31) || coalesce(o_custkey::VARCHAR, '') || chr(31) || coalesce(o_orderstatus, '') || chr(31) || coalesce(strftime(o_orderdate, '%Y-%m-%d'), '')"
+_CHUNK = 100
+
+
+@query(f"""WITH a AS (SELECT o_orderkey // {_CHUNK} AS k, sha256(string_agg({_SAID}, chr(10) ORDER BY o_orderkey)) AS h, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT k // {_CHUNK} AS k, sha256(string_agg(h, chr(10) ORDER BY k)) AS h, sum(n) AS n FROM a GROUP BY 1),
+    c AS (SELECT k // {_CHUNK} AS k, sha256(string_agg(h, chr(10) ORDER BY k)) AS h, sum(n) AS n FROM b GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, chr(10) ORDER BY k)) AS digest FROM c""")
 def logical_hash(spark: SparkSession, d: str) -> DataFrame:
-    row = F.sha2(F.concat_ws("\x1f", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")), 256)
-    return table(spark, d, "nation").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("long")).alias("digest"))
+    """A digest of all rows in their order, as a tree: digests of runs of a hundred keys, and of runs of those, so that no task has more."""
+    row = F.concat_ws("\x1f", F.col("o_orderkey").cast("string"), F.coalesce(F.col("o_custkey").cast("string"), F.lit("")), F.coalesce("o_orderstatus", F.lit("")), F.coalesce(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("")))
+    return R.tree_digest(table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), row.alias("said")), _CHUNK, 3)
 
 
 @query("""SELECT 'c_name' AS name, 'string' AS type, max(length(c_name)) AS longest, count(*) - count(c_name) AS nulls FROM customer UNION ALL SELECT 'c_mktsegment', 'string', max(length(c_mktsegment)), count(*) - count(nullif(c_mktsegment, '')) FROM customer
@@ -105,10 +112,15 @@ def winsorised_quota(spark: SparkSession, d: str) -> DataFrame:
     return w.withColumn("all", w.agg(F.sum("v").alias("s")).scalar()).select("k", "n", "v", half_up(F.col("v") / F.col("all"), 9).alias("share"))
 
 
-@query("SELECT 'priority' AS what, count(*) AS differing FROM ((SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) EXCEPT ALL (SELECT o_orderpriority, count(*) FROM orders WHERE o_orderstatus = 'F' GROUP BY 1))")
+_MAP = "SELECT o_orderpriority AS k, count(*) AS n FROM orders WHERE o_orderstatus = '{}' GROUP BY 1"
+
+
+@query(f"WITH a AS ({_MAP.format('O')}), b AS ({_MAP.format('F')}) SELECT coalesce(a.k, b.k) AS k, a.n AS n_open, b.n AS n_closed, a.n IS DISTINCT FROM b.n AS differs FROM a FULL JOIN b ON a.k = b.k")
 def count_maps_differ(spark: SparkSession, d: str) -> DataFrame:
-    by = lambda s: table(spark, d, "orders").filter(F.col("o_orderstatus") == s).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
-    return by("O").exceptAll(by("F")).agg(F.lit("priority").alias("what"), F.count("*").alias("differing"))
+    """Two maps of counts side by side, with keys that only one has."""
+    by = lambda s, n: table(spark, d, "orders").filter(F.col("o_orderstatus") == s).groupBy(F.col("o_orderpriority").alias("k")).agg(F.count("*").alias(n))
+    both = by("O", "n_open").join(by("F", "n_closed"), "k", "full")
+    return both.withColumn("differs", ~F.col("n_open").eqNullSafe(F.col("n_closed")))
 
 
 _PATHS = {"convicted": "registered>investigated>charged>tried>convicted", "acquitted": "registered>investigated>charged>tried>acquitted", "undetected": "registered>investigated>undetected", "transferred": "registered>transferred"}
@@ -136,18 +148,12 @@ def path_flow(spark: SparkSession, d: str) -> DataFrame:
 def flow_layout(spark: SparkSession, d: str) -> DataFrame:
     store = Store(spark)
     edges = store.cut(_flows(spark, d), "flows")
-    edges.createOrReplaceTempView(f"flows_{id(edges)}")
-    # Longest path from the sources: a walk over a handful of stages.
-    depth = spark.sql(f"""WITH RECURSIVE walk(node, depth) AS (
-          SELECT DISTINCT source, 0 FROM flows_{id(edges)} WHERE source NOT IN (SELECT target FROM flows_{id(edges)})
-          UNION ALL SELECT target, depth + 1 FROM walk JOIN flows_{id(edges)} ON node = source WHERE depth < 20
-        ) SELECT node, CAST(max(depth) AS BIGINT) AS depth FROM walk GROUP BY node""")
+    depth = longest_depths(edges, store)
     inflow = edges.groupBy(F.col("target").alias("node")).agg(F.sum("n").alias("i"))
     outflow = edges.groupBy(F.col("source").alias("node")).agg(F.sum("n").alias("o"))
     rows = depth.join(inflow, "node", "left").join(outflow, "node", "left").withColumn("flow", F.greatest(F.coalesce("i", F.lit(0)), F.coalesce("o", F.lit(0))))
     before = F.coalesce(F.sum("flow").over(W.partitionBy("depth").orderBy("node").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     out = store.cut(rows.select("node", "depth", "flow", before.alias("layout_offset")), "layout")
-    spark.catalog.dropTempView(f"flows_{id(edges)}")
     store.close(out)
     return out
 

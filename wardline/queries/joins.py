@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wardline.catalogue import INCIDENTS, query
 from wardline.functions import text as T
+from wardline.functions.scalars import half_up
 from wardline.operators import relational as R
 from wardline.plans.language import Filter, IncidentRequest, TableQuery
 from wardline.sources.tables import incidents, table
@@ -37,9 +38,11 @@ def prefix_and_contains(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").filter(F.startswith("p_name", F.lit("red")) & F.contains(F.lower("p_type"), F.lit("e"))).select("p_partkey", "p_name")
 
 
-@query("SELECT CAST(NULL AS BIGINT) AS alert_id, CAST(NULL AS VARCHAR) AS station, CAST(NULL AS DOUBLE) AS score WHERE false")
+@query("SELECT n_name AS station, alert_id, score FROM nation LEFT JOIN (SELECT o_orderkey AS alert_id, o_orderpriority AS place, o_totalprice AS score FROM orders WHERE false) ON place = n_name")
 def typed_empty(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([], "alert_id long, station string, score double")
+    """A scan that is never true keeps its types: every station, with the alerts that it doesn't have."""
+    none = table(spark, d, "orders").filter(F.lit(False)).select(F.col("o_orderkey").alias("alert_id"), F.col("o_orderpriority").alias("place"), F.col("o_totalprice").alias("score"))
+    return table(spark, d, "nation").join(none, F.col("place") == F.col("n_name"), "left").select(F.col("n_name").alias("station"), "alert_id", "score")
 
 
 _NULL_SAFE = """
@@ -82,17 +85,22 @@ def join_fallback_chain(spark: SparkSession, d: str) -> DataFrame:
 _TOKENS = "list_distinct(list_filter(string_split_regex(regexp_replace(lower({}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda t: t <> '' AND t NOT IN ('ps', 'police', 'station')))"
 
 
-@query(f"""WITH a AS (SELECT DISTINCT p_name AS x, {_TOKENS.format("p_name")} AS s FROM part), b AS (SELECT n_name || ' police station' AS y, {_TOKENS.format("n_name || ' ring widget' || n_nationkey")} AS t FROM nation),
+_PLAIN = "regexp_replace(regexp_replace(replace(translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '&', 'and'), '\\b(?:police|station|ps|traffic)\\b', '', 'g'), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"""WITH a AS (SELECT DISTINCT name AS x, {_TOKENS.format("name")} AS s FROM clients WHERE name IS NOT NULL), b AS (SELECT DISTINCT name AS y, {_TOKENS.format("name")} AS t FROM vendors WHERE name IS NOT NULL),
     r AS (SELECT x, y, CASE WHEN len(s) = 0 OR len(t) = 0 THEN 0 ELSE 2 * coalesce(list_sum(list_transform(s, lambda p: CASE WHEN list_contains(t, p) THEN 1.0::DOUBLE
-      WHEN len(list_filter(t, lambda o: length(p) >= 5 AND length(o) >= 5 AND starts_with(CASE WHEN length(p) < length(o) THEN o ELSE p END, substr(CASE WHEN length(p) < length(o) THEN p ELSE o END, 1, 6)))) > 0 THEN 0.9 ELSE 0 END)), 0) / (len(s) + len(t)) END AS ratio FROM a, b)
-    SELECT x, y, floor(ratio * 1e9 + 0.5) / 1e9 AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY ratio DESC, y) AS r FROM r WHERE ratio > 0.35) WHERE r <= 3""")
+      WHEN len(list_filter(t, lambda o: length(p) >= 5 AND length(o) >= 5 AND starts_with(CASE WHEN length(p) < length(o) THEN o ELSE p END, substr(CASE WHEN length(p) < length(o) THEN p ELSE o END, 1, 6)))) > 0 THEN 0.9 ELSE 0 END)), 0) / (len(s) + len(t)) END AS ratio FROM a, b),
+    k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY ratio DESC, y) AS r FROM r WHERE ratio > 0.35), n AS (SELECT *, {_PLAIN.format("x")} AS p, {_PLAIN.format("y")} AS q FROM k WHERE r <= 3)
+    SELECT x, y, floor(ratio * 1e9 + 0.5) / 1e9 AS ratio, floor(CASE WHEN p = '' OR q = '' THEN 0 ELSE 1 - levenshtein(p, q) / greatest(length(p), length(q)) END * 1e9 + 0.5) / 1e9 AS edit FROM n""")
 def join_fuzzy_token_set(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "part").select(F.col("p_name").alias("x")).distinct()
-    # Units are a dimension of fixed size.
-    units = table(spark, d, "nation").select(F.concat("n_name", F.lit(" police station")).alias("y"), F.concat("n_name", F.lit(" ring widget"), F.col("n_nationkey").cast("string")).alias("z"))
-    pairs = names.withColumn("units", F.lit(1)).join(F.broadcast(units.withColumn("units", F.lit(1))), "units")
-    scored = pairs.select("x", "y", T.token_ratio(F.col("x"), F.col("z")).alias("ratio")).filter("ratio > 0.35")
-    return R.top_per_group(scored, ["x"], [F.col("ratio").desc(), F.col("y")], 3).withColumn("ratio", F.floor(F.col("ratio") * 1e9 + 0.5) / 1e9)
+    """The three vendors whose names are most like a client's. Names meet on a shared word, or on the first five letters of longer ones, which any two that begin alike share."""
+    names = lambda t, c: table(spark, d, t).filter("name IS NOT NULL").select(F.col("name").alias(c)).distinct()
+    keyed = lambda df, c: df.select(c, F.explode(T.name_keys(F.col(c))).alias("key"))
+    pairs = keyed(names("clients", "x"), "x").join(keyed(names("vendors", "y"), "y"), "key").select("x", "y").distinct()
+    scored = pairs.withColumn("ratio", T.token_ratio(F.col("x"), F.col("y"))).filter("ratio > 0.35")
+    best = R.top_per_group(scored, ["x"], [F.col("ratio").desc(), F.col("y")], 3)
+    return best.select("x", "y", half_up(F.col("ratio"), 9).alias("ratio"), half_up(T.edit_ratio(F.col("x"), F.col("y")), 9).alias("edit"))
 
 
 @query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem) SELECT a, b, s_name, p_name, s_suppkey IS NULL OR p_partkey IS NULL AS orphan FROM e LEFT JOIN supplier ON a = s_suppkey AND s_acctbal > 0 LEFT JOIN part ON b = p_partkey""")
@@ -115,10 +123,10 @@ def union_all_tagged(spark: SparkSession, d: str) -> DataFrame:
     return by("supplier", "supplier", "s_nationkey").unionByName(by("customer", "customer", "c_nationkey")).unionByName(by("nation", "nation", "n_nationkey"))
 
 
-@query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_shipdate < DATE '1996-06-01'), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_shipdate < DATE '1996-06-01')
+@query("""WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A')
     SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'second' WHEN b.k IS NULL THEN 'first' ELSE 'both' END AS side FROM a FULL JOIN b ON a.k = b.k""")
 def set_sides(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").filter("l_shipdate < DATE '1996-06-01' AND l_returnflag IN ('R', 'A')")
+    rows = table(spark, d, "lineitem").filter("l_returnflag IN ('R', 'A')")
     by = rows.groupBy(F.col("l_partkey").alias("k")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("r"), F.bool_or(F.col("l_returnflag") == "A").alias("a"))
     return by.select("k", F.when(~F.col("r"), "second").when(~F.col("a"), "first").otherwise("both").alias("side"))
 

@@ -1,4 +1,4 @@
-"""Scalar functions over tables and inline relations."""
+"""Scalar functions over tables."""
 
 from __future__ import annotations
 
@@ -12,65 +12,68 @@ from wardline.functions import text as T
 from wardline.sources.tables import table
 
 
-def _values(name: str, texts: tuple[str | None, ...]) -> str:
-    quoted = ", ".join("(NULL)" if t is None else "('" + t.replace("'", "''") + "')" for t in texts)
-    return f"(VALUES {quoted}) t({name})"
+def _labels(table_name: str, key: str, texts: tuple[str | None, ...], more: str | None = None) -> str:
+    """Rows of a table with a label each, as forms write it: one of the texts by the key's remainder, and more after it."""
+    quoted = ", ".join("NULL" if t is None else "'" + t.replace("'", "''") + "'" for t in texts)
+    raw = f"[{quoted}][{key} % {len(texts)} + 1]"
+    return f"(SELECT {key} AS k, {raw if more is None else f"{raw} || ' ' || {more}"} AS raw FROM {table_name})"
 
 
-def _inline(spark: SparkSession, texts: tuple[str | None, ...]) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in texts], "raw string")
+def _labelled(spark: SparkSession, d: str, table_name: str, key: str, texts: tuple[str | None, ...], more: str | None = None) -> DataFrame:
+    raw = F.element_at(F.array(*map(F.lit, texts)), (F.col(key) % len(texts) + 1).cast("int"))
+    return table(spark, d, table_name).select(F.col(key).alias("k"), (raw if more is None else F.concat(raw, F.lit(" "), F.col(more))).alias("raw"))
 
 
 _STAGE = (" Under  Investigation", "PENDING TRIAL", "traced", "Un Traced", "UnTraced", "dis/acq", "BoundOver", "Transfered :UI( CCB City Police)", "TRANSFERRED : ui ()", "False Case", "Other disposal")
 
 
 @query(
-    f"""WITH r AS (SELECT raw, trim(raw) AS v FROM {_values("raw", _STAGE)})
-    SELECT raw, CASE WHEN regexp_matches(v, '(?i)^transfer+ed\\s*:\\s*UI\\s*\\(.*\\)\\s*$') THEN 'transferred' ELSE CASE lower(regexp_replace(v, '\\s+', ' ', 'g')) {" ".join(f"WHEN '{k}' THEN '{x}'" for k, x in T.STAGES.items())} END END AS stage,
+    f"""WITH r AS (SELECT k, trim(raw) AS v FROM {_labels("orders", "o_orderkey", _STAGE)})
+    SELECT k, CASE WHEN regexp_matches(v, '(?i)^transfer+ed\\s*:\\s*UI\\s*\\(.*\\)\\s*$') THEN 'transferred' ELSE CASE lower(regexp_replace(v, '\\s+', ' ', 'g')) {" ".join(f"WHEN '{k}' THEN '{x}'" for k, x in T.STAGES.items())} END END AS stage,
       nullif(trim(regexp_extract(v, '(?i)^transfer+ed\\s*:\\s*UI\\s*\\((.*)\\)\\s*$', 1)), '') AS transfer_target FROM r"""
 )
 def stage_normalise(spark: SparkSession, d: str) -> DataFrame:
-    return _inline(spark, _STAGE).withColumn("s", T.stage(F.col("raw"))).select("raw", "s.stage", "s.transfer_target")
+    return _labelled(spark, d, "orders", "o_orderkey", _STAGE).withColumn("s", T.stage(F.col("raw"))).select("k", "s.stage", "s.transfer_target")
 
 
 _LABELS = (" CYBER  CRIME", "Online & Organised", "online", "Written &organised", "R S BIRADAR   (PI)", "Asha Rao (psi) ", "Plain Name", "12345.0", "0042", "12.5", "", "3.0", "-2", "x7")
 
 
 @query(
-    rf"""SELECT raw, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS label, lower(trim(regexp_replace(raw, '\s+', ' ', 'g'))) AS folded, trim(regexp_replace(trim(regexp_replace(raw, '\s+', ' ', 'g')), '(?i)\s*&\s*Organised$', '')) AS mode,
+    rf"""SELECT k, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS label, lower(trim(regexp_replace(raw, '\s+', ' ', 'g'))) AS folded, trim(regexp_replace(trim(regexp_replace(raw, '\s+', ' ', 'g')), '(?i)\s*&\s*Organised$', '')) AS mode,
       regexp_matches(trim(regexp_replace(raw, '\s+', ' ', 'g')), '(?i)\s*&\s*Organised$') AS is_organised,
       CASE WHEN regexp_full_match(regexp_replace(trim(raw), '\.0+$', ''), '[0-9]+') THEN regexp_replace(trim(raw), '\.0+$', '') END AS officer_id,
       CASE WHEN trim(raw) = '' THEN 0 WHEN regexp_full_match(regexp_replace(trim(raw), '\.0+$', ''), '[0-9]+') THEN regexp_replace(trim(raw), '\.0+$', '')::BIGINT END AS n,
-      nullif(upper(regexp_extract(trim(raw), '(?i)\(({"|".join(T.RANKS)})\)$', 1)), '') AS rank FROM {_values("raw", _LABELS)}"""
+      nullif(upper(regexp_extract(trim(raw), '(?i)\(({"|".join(T.RANKS)})\)$', 1)), '') AS rank FROM {_labels("customer", "c_custkey", _LABELS)}"""
 )
 def label_normalise(spark: SparkSession, d: str) -> DataFrame:
     raw = F.col("raw")
-    rows = _inline(spark, _LABELS).withColumn("m", T.complaint_mode(raw)).withColumn("o", T.officer(raw))
-    return rows.select("raw", S.label(raw).alias("label"), T.fold(raw).alias("folded"), "m.mode", "m.is_organised", T.officer_id(raw).alias("officer_id"), S.count_of(raw).alias("n"), "o.rank")
+    rows = _labelled(spark, d, "customer", "c_custkey", _LABELS).withColumn("m", T.complaint_mode(raw)).withColumn("o", T.officer(raw))
+    return rows.select("k", S.label(raw).alias("label"), T.fold(raw).alias("folded"), "m.mode", "m.is_organised", T.officer_id(raw).alias("officer_id"), S.count_of(raw).alias("n"), "o.rank")
 
 
 _PLACES = ("Near Majestic Bus Stand, Main Road", "Govt School, 5th Cross", "SBI ATM MG Road", "No 5 Lake View Apartments", "Silk Board Junction", "Outer Ring  Road", "nowhere in particular", "METRO pillar 12", "Temple Street market", None, "", "house opposite to the police station")
 
 
 @query(
-    f"""SELECT raw, CASE {" ".join(f"WHEN regexp_matches(coalesce(raw, ''), '(?i)\\b(?:{w})\\b') THEN '{k}'" for k, w in T.PREMISES.items())} ELSE 'outdoor' END AS premise,
-      array_to_string(list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(upper(coalesce(raw, '')), '[^A-Z\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 3 AND w NOT IN ({", ".join(f"'{w}'" for w in T.PLACE_STOP_WORDS)}))))[1:24], ' ') AS tokens FROM {_values("raw", _PLACES)}"""
+    f"""SELECT k, CASE {" ".join(f"WHEN regexp_matches(coalesce(raw, ''), '(?i)\\b(?:{w})\\b') THEN '{k}'" for k, w in T.PREMISES.items())} ELSE 'outdoor' END AS premise,
+      array_to_string(list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(upper(coalesce(raw, '')), '[^A-Z\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 3 AND w NOT IN ({", ".join(f"'{w}'" for w in T.PLACE_STOP_WORDS)}))))[1:24], ' ') AS tokens FROM {_labels("clients", "client_id", _PLACES, "city")}"""
 )
 def premise_class(spark: SparkSession, d: str) -> DataFrame:
     raw = F.col("raw")
-    return _inline(spark, _PLACES).select("raw", T.premise(raw).alias("premise"), F.array_join(T.premise_tokens(raw), " ").alias("tokens"))
+    return _labelled(spark, d, "clients", "client_id", _PLACES, "city").select("k", T.premise(raw).alias("premise"), F.array_join(T.premise_tokens(raw), " ").alias("tokens"))
 
 
 _ARMS = ("ARMS ACT 1959 U/s: 25", "robbery with knife and car", "stone and stick", "cyber phone account", "dangerous means", "dangerous means and a gun", "burn by acid", "nothing", "two wheeler kidnap", "Murder", "dowry", "automobile theft")
 
 
 @query(
-    f"""SELECT raw, coalesce(nullif(array_to_string(list_sort(list_filter([{", ".join(f"CASE WHEN regexp_matches(upper(raw), '\\b(?:{w})\\b') THEN '{k}' END" for k, w in T.WEAPONS.items())}], lambda x: x IS NOT NULL)), ' '), ''),
-      CASE WHEN regexp_matches(upper(raw), '\\b(?:{T.OTHER_WEAPON})\\b') THEN 'other_weapon' ELSE '' END) AS hints, CAST(CASE {" ".join(f"WHEN regexp_matches(lower(raw), '{w}') THEN {k}" for k, w in T.SEVERITY.items())} ELSE 1 END AS DOUBLE) AS weight FROM {_values("raw", _ARMS)}"""
+    f"""SELECT k, coalesce(nullif(array_to_string(list_sort(list_filter([{", ".join(f"CASE WHEN regexp_matches(upper(raw), '\\b(?:{w})\\b') THEN '{k}' END" for k, w in T.WEAPONS.items())}], lambda x: x IS NOT NULL)), ' '), ''),
+      CASE WHEN regexp_matches(upper(raw), '\\b(?:{T.OTHER_WEAPON})\\b') THEN 'other_weapon' ELSE '' END) AS hints, CAST(CASE {" ".join(f"WHEN regexp_matches(lower(raw), '{w}') THEN {k}" for k, w in T.SEVERITY.items())} ELSE 1 END AS DOUBLE) AS weight FROM {_labels("part", "p_partkey", _ARMS, "p_name")}"""
 )
 def weapon_hints(spark: SparkSession, d: str) -> DataFrame:
     raw = F.col("raw")
-    return _inline(spark, _ARMS).select("raw", F.array_join(T.weapons(raw), " ").alias("hints"), T.severity_weight(raw).alias("weight"))
+    return _labelled(spark, d, "part", "p_partkey", _ARMS, "p_name").select("k", F.array_join(T.weapons(raw), " ").alias("hints"), T.severity_weight(raw).alias("weight"))
 
 
 @query("""SELECT p_partkey, upper(p_type) || ' ACT::' || p_size || ' ' || upper(p_brand) || ' CODE::' || (p_size + 1) || 'A ' || upper(p_brand) || ' CODE::' || (p_size + 2) AS tokens FROM (SELECT *, replace(p_brand, '#', '') AS b FROM part) WHERE p_size > 0""".replace("upper(p_brand)", "upper(b)").replace("SELECT p_partkey, upper(p_type) || ' ACT::' || p_size || ' ' || upper(b) || ' CODE::' || (p_size + 1) || 'A ' || upper(b) || ' CODE::' || (p_size + 2) AS tokens", "SELECT p_partkey, array_to_string(list_sort([upper(p_type) || ' ACT::' || p_size, upper(b) || ' CODE::' || (p_size + 1) || 'A', upper(b) || ' CODE::' || (p_size + 2)]), ' ') AS tokens"))
