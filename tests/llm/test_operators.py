@@ -285,6 +285,17 @@ def test_mixing_of_repeated_rows_comes_near_its_target(spark):
     assert source_mixing.plan(df.limit(0)).isEmpty()
 
 
+def test_mixing_reruns_agree_row_by_row(spark):
+    """Rows that share id and text, over sources and other columns, in any order and partitioning."""
+    rows = [(i % 40, "w " * 5, s, j) for i in range(40) for s in ("a", "b", "c") for j in range(3)]
+    make = lambda order, n: spark.createDataFrame(order, "doc_id long, text string, source string, extra long").repartition(n)
+    said = lambda df: sorted(tuple(r) for r in df.collect())
+    first, mixed = said(source_mixing.plan(make(rows, 1))), said(source_mixing.mix(make(rows, 1)))
+    for order, n in ((rows[::-1], 1), (rows, 4), (rows[50:] + rows[:50], 7)):
+        assert said(source_mixing.plan(make(order, n))) == first
+        assert said(source_mixing.mix(make(order, n))) == mixed
+
+
 @pytest.mark.skipif(not os.path.exists(entry.MODEL), reason="no model file")
 def test_token_ids_equal_the_library(spark):
     import sentencepiece

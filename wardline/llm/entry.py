@@ -169,7 +169,7 @@ SQL: dict[str, str] = {
     "op6_quality_rules": quality_divergence.sql(),
     "op8_mixing": """
         WITH d AS (
-          SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, sha256(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS key FROM documents
+          SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, sha256(coalesce(doc_id::VARCHAR, '') || '|' || length(coalesce(source, '')) || '|' || coalesce(source, '') || '|' || coalesce(text, '')) AS key FROM documents
         ), n AS (SELECT *, row_number() OVER (PARTITION BY key) - 1 AS number FROM d),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
         w AS (SELECT *, [5, 2, 1][CAST((place - 1) % 3 AS INT) + 1]::DOUBLE AS w, source_size * 2.0::DOUBLE AS most FROM s),

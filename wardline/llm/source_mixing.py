@@ -2,7 +2,8 @@
 
 Tokens are summed per source, a repetition rate follows from each source's target, and a document is
 taken floor(rate) times plus once more with probability rate - floor(rate), drawn from a keyed hash of
-its id, its text and its number among the rows that share both: independent of partitioning and of reruns.
+its id, its source, its text and its number among the rows that share all three. Those rows are numbered in the order
+of a digest of all their columns, so only rows that don't differ at all may swap: partitioning and reruns change nothing.
 
 Targets share `share` of all tokens by weight; none passes `cap` times its source's size, and what is
 cut off is shared again by weight. That fixed point is found in closed form: with sources ordered by
@@ -64,30 +65,34 @@ def copies_of(rate: Column, key: Column, number: Column, seed: int) -> Column:
 
 
 def numbered(rows: DataFrame, store: Store) -> DataFrame:
-    """rows with `number`, from 0 within each key; hot keys are counted in parts, none in one task."""
+    """rows (key, same, ...) with `number`, from 0 within each key in the order of `same`; hot keys are counted in parts, none in one task."""
     rows = store.cut(rows.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))), "parts")
-    count = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    count = count.select("key", "part", before.alias("before"))
-    at = F.row_number().over(W.partitionBy("key", "part").orderBy(F.lit(0))) - 1
-    return rows.withColumn("at", at).join(count, ["key", "part"]).withColumn("number", (F.col("at") + F.col("before")).cast("long")).drop("at", "before", "part")
+    count = rows.groupBy("key", "same", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("key").orderBy("same", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    count = count.select("key", "same", "part", before.alias("before"))
+    # Rows of one `same` are equal in every column: which of them has which number can't be told.
+    at = F.row_number().over(W.partitionBy("key", "same", "part").orderBy(F.lit(0))) - 1
+    return rows.withColumn("at", at).join(count, ["key", "same", "part"]).withColumn("number", (F.col("at") + F.col("before")).cast("long")).drop("at", "before", "part")
 
 
 def _drawn(rows: DataFrame, keys: DataFrame, store: Store) -> DataFrame:
-    """rows (key, ...) with `number`; only rows whose key `keys` has several times are moved."""
+    """rows (key, same, ...) with `number`; only rows whose key `keys` has several times are moved."""
     again = store.cut(keys.groupBy("key").count().filter("count > 1").select("key"), "again")
     once = rows.join(again, "key", "left_anti").withColumn("number", F.lit(0).cast("long"))
-    return once.unionByName(numbered(rows.join(again, "key", "left_semi"), store))
+    return once.unionByName(numbered(rows.join(again, "key", "left_semi"), store)).drop("same")
 
 
-def _key(doc_id: Column, text: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))), 256)
+def _key(doc_id: Column, source: Column, text: Column) -> Column:
+    said = [F.coalesce(c.cast("string"), F.lit("")) for c in (doc_id, source, text)]
+    return F.sha2(F.concat_ws("|", said[0], F.length(said[1]).cast("string"), said[1], said[2]), 256)
 
 
 def plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 20240) -> DataFrame:
     """doc_id, size, source_size, target, copies: a row per document. Texts are read once; only sizes are shuffled."""
     store = Store(docs.sparkSession)
-    sized = store.cut(docs.select("doc_id", "source", _key(F.col("doc_id"), F.col("text")).alias("key"), size_of(F.col("text")).alias("size")), "sizes")
+    key = _key(F.col("doc_id"), F.col("source"), F.col("text"))
+    # Nothing but id, source and text counts here.
+    sized = store.cut(docs.select("doc_id", "source", key.alias("key"), F.lit(0).alias("same"), size_of(F.col("text")).alias("size")), "sizes")
     goal = targets(sized, store, weights, share, cap)
     # Sources may be many: the side is broadcast only if its size, known once it is there, is small.
     joined = _drawn(sized, sized, store).alias("d").join(goal.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
@@ -100,9 +105,9 @@ def plan(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: flo
 def mix(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, seed: int = 20240) -> DataFrame:
     """The mixed corpus: the columns of docs, a row for every copy taken. The result reads small tables of the shared folder."""
     store = Store(docs.sparkSession)
-    sized = store.cut(docs.select("source", _key(F.col("doc_id"), F.col("text")).alias("key"), size_of(F.col("text")).alias("size")), "sizes")
+    sized = store.cut(docs.select("source", _key(F.col("doc_id"), F.col("source"), F.col("text")).alias("key"), size_of(F.col("text")).alias("size")), "sizes")
     goal = store.cut(targets(sized, store, weights, share, cap), "targets")
-    rows = nested(docs, key=_key(F.col("row.doc_id"), F.col("row.text")), source=F.col("row.source"))
+    rows = nested(docs, key=_key(F.col("row.doc_id"), F.col("row.source"), F.col("row.text")), same=F.xxhash64("row"), source=F.col("row.source"))
     joined = _drawn(rows, sized, store).alias("d").join(goal.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
     taken = joined.select("d.row", copies_of(F.col("g.rate"), F.col("d.key"), F.col("d.number"), seed).alias("copies")).filter("copies > 0")
     return unnested(taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")), docs.columns)
