@@ -217,9 +217,16 @@ SQL: dict[str, str] = {
         g AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS x FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM v))),
         f AS (SELECT r, i, n, item_id FROM g JOIN v USING (n, x)),
         h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM f) GROUP BY r),
-        m AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM f) GROUP BY r)
-        SELECT doc_id, len(coalesce(w, [])) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN h USING (r) LEFT JOIN m USING (r)
+        m AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM f) GROUP BY r),
+        o AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d), c AS (SELECT x, count(*) AS n FROM o GROUP BY x),
+        y AS (SELECT DISTINCT k, item_id, x FROM (SELECT row_number() OVER () AS k, item_id, w FROM b), unnest(w) t(x)),
+        q AS (SELECT *, count(*) OVER (PARTITION BY k) AS n_all, min(n) OVER (PARTITION BY k) AS least
+          FROM (SELECT k, item_id, x, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY k ORDER BY coalesce(n, 0), x) AS place FROM y LEFT JOIN c USING (x)) WHERE place <= 3),
+        z AS (SELECT o.r, o.p, q.* FROM o JOIN q USING (x) WHERE least > 0),
+        s AS (SELECT a.r, a.item_id FROM z a LEFT JOIN z b ON b.r = a.r AND b.k = a.k AND b.place > 1 AND abs(b.p - a.p) < 20 WHERE a.place = 1 GROUP BY a.r, a.p, a.k, a.item_id, a.n_all HAVING count(DISTINCT b.place) = a.n_all - 1),
+        e AS (SELECT r, count(DISTINCT item_id) AS n_near FROM s GROUP BY r)
+        SELECT doc_id, len(coalesce(w, [])) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+        FROM d LEFT JOIN h USING (r) LEFT JOIN m USING (r) LEFT JOIN e USING (r)
     """,
     "op13_prefix_trie": f"""
         WITH o AS (

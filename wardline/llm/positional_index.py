@@ -61,7 +61,7 @@ class Items:
         rows = items.filter("item_id IS NOT NULL").select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("string").alias("item_id"), "text")
         said = store.cut(positions(rows, "text", "item", "item_id").filter("word <> ''"), "items")
         self.terms = store.cut(said.select("word").distinct().select(F.monotonically_increasing_id().alias("term"), "word"), "terms")
-        self.words = store.cut(said.join(self.terms, "word").select("item", "pos", "term", "n_words"), "item-words")
+        self.words = store.cut(said.join(self.terms, "word").select("item", "pos", "term", "word", "n_words"), "item-words")
         self.ids = said.filter("pos = 0").select("item", "item_id")
         self.few = self.terms.count() <= BROADCAST_TERMS
 
@@ -109,10 +109,10 @@ def phrases(items: Items, index: Index, store: Store, window: int = WINDOW, rare
 
 
 def near(items: Items, index: Index, store: Store, terms: int = 3, within: int = 20) -> DataFrame:
-    """(row, item): texts in which an item's rarest terms all stand fewer than `within` words from one place of the rarest."""
-    words = items.words.select("item", "term").distinct().join(index.counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    """(row, item): texts in which an item's rarest terms (of equal counts the first words) all stand fewer than `within` words from one place of the rarest."""
+    words = items.words.select("item", "term", "word").distinct().join(index.counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     by = W.partitionBy("item")
-    rare = words.withColumn("place", F.row_number().over(by.orderBy("n", "term"))).filter(F.col("place") <= terms)
+    rare = words.withColumn("place", F.row_number().over(by.orderBy("n", "word"))).filter(F.col("place") <= terms)
     rare = store.cut(rare.withColumn("all", F.count("*").over(by)).withColumn("least", F.min("n").over(by)).filter("least > 0"), "rare")
     hits = index.postings.join(rare, "term").select("row", "item", "pos", "term", "place", "all")
     cell = F.floor(F.col("pos") / within)
@@ -124,17 +124,18 @@ def near(items: Items, index: Index, store: Store, terms: int = 3, within: int =
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a row for each document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items by proximity alone): a row for each document."""
     store = Store(docs.sparkSession)
     items = Items(benchmark, store)
     index = Index(docs, items, store)
     found = store.cut(phrases(items, index, store, window), "phrases")
     hit = found.select("row", F.explode(F.sequence("first", "last")).alias("pos")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
     which = found.select("row", "item").distinct().join(items.ids, "item").groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
-    out = index.texts.join(hit, "row", "left").join(which, "row", "left")
+    close = near(items, index, store).join(items.ids, "item").groupBy("row").agg(F.count_distinct("item_id").alias("n_near"))
+    out = index.texts.join(hit, "row", "left").join(which, "row", "left").join(close, "row", "left")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0))
-    out = out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    out = out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
     out = store.cut(out, "contamination")
     store.close(out)
     return out
