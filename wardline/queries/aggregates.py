@@ -161,9 +161,15 @@ def flow_layout(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH o AS (SELECT o_custkey AS k, o_orderkey AS id, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) - 1 AS i, o_orderpriority AS g FROM orders)
     SELECT g, i // 20 AS bucket, id, lag(id) OVER (PARTITION BY g, i // 20 ORDER BY i) AS before FROM o""")
 def bucket_lag(spark: SparkSession, d: str) -> DataFrame:
-    i = F.row_number().over(W.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")) - 1
-    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), i.alias("i"), F.col("o_orderkey").alias("id")).withColumn("bucket", F.floor(F.col("i") / 20).cast("long"))
-    return rows.select("g", "bucket", "id", F.lag("id").over(W.partitionBy("g", "bucket").orderBy("i")).alias("before"))
+    """Rows of each priority in order, in buckets of twenty, each with the one before it in its bucket; places are taken by ranges."""
+    store = Store(spark)
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), "o_orderdate", F.col("o_orderkey").alias("id"))
+    ranked = store.cut(running(rows, [F.col("g"), F.col("o_orderdate"), F.col("id")], {}, store, "i"), "ranked")
+    first = ranked.groupBy("g").agg(F.min("i").alias("first"))
+    placed = ranked.join(first, "g").withColumn("i", F.col("i") - F.col("first")).withColumn("bucket", F.expr("i div 20"))
+    out = store.cut(placed.select("g", "bucket", "id", F.lag("id").over(W.partitionBy("g", "bucket").orderBy("i")).alias("before")), "buckets")
+    store.close(out)
+    return out
 
 
 @query("""WITH h AS (SELECT event_type, hour(ts) AS h, count(*) AS n FROM events GROUP BY ALL), l AS (SELECT *, coalesce(lag(n) OVER w, last_value(n) OVER (PARTITION BY event_type ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS prev FROM h WINDOW w AS (PARTITION BY event_type ORDER BY h))
