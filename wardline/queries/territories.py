@@ -10,7 +10,7 @@ from wardline.functions import geo, hexes
 from wardline.functions import hashing as H
 from wardline.functions.scalars import half_up
 from wardline.operators import boundaries
-from wardline.plans import places, resolve
+from wardline.plans import places, regions, resolve
 from wardline.queries.domain import _KM, _WINDOW, PLACED, _draw
 from wardline.sources.scratch import Store
 from wardline.sources.tables import incidents, table
@@ -155,3 +155,62 @@ def geo_resolution(spark: SparkSession, d: str) -> DataFrame:
     out = store.cut(resolve.resolve(rows, areas(spark, d), anchors, store), "resolved")
     store.close(out)
     return out
+
+
+#: Seeds of regions: anchors, tier and whether a ring of cells lies around.
+_SEEDS = (("west", "regional", 2, (0, 1)), ("middle", "regional", 2, (12,)), ("east", "regional", 2, (18,)), ("events", "superzone", 2, (6, 7)), ("edge", "superzone", 0, (20,)))
+_PLAN = f"""{_NEAR}, pairs AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+    seed(region, tier, buffer, anchor) AS (VALUES {", ".join(f"('{r}', '{t}', {b}, {a})" for r, t, b, codes in _SEEDS for a in codes)}),
+    plan AS (SELECT region, tier, buffer, anchor AS code FROM seed UNION SELECT region, tier, buffer, b FROM seed JOIN pairs ON anchor = a
+      UNION SELECT 'local_' || code, 'local', 0, code FROM a WHERE code NOT IN (SELECT anchor FROM seed WHERE tier = 'regional'))"""
+
+
+def _plan(spark: SparkSession, d: str, store: Store) -> DataFrame:
+    seeds = spark.createDataFrame([(r, t, b, a) for r, t, b, codes in _SEEDS for a in codes], "region string, tier string, buffer int, anchor int")
+    near = store.cut(boundaries.adjacency(areas(spark, d)), "near")
+    found = store.cut(regions.plan(seeds, areas(spark, d), near), "plan")
+    if not regions.uncovered(found, areas(spark, d)).isEmpty():
+        raise ValueError("the plan misses an area")
+    return found
+
+
+@query(f"WITH {_PLAN} SELECT region, tier, buffer, code FROM plan")
+def region_plan(spark: SparkSession, d: str) -> DataFrame:
+    store = Store(spark)
+    out = _plan(spark, d, store)
+    store.close(out)
+    return out
+
+
+_PAIRS = 40
+_DRAWN = ", ".join(f"CAST(CAST('0x' || substr({_hmac(f"'1|routing_validation|' || region || '|{e}:' || probe")}, 1, 16) AS UBIGINT) % n AS BIGINT) AS \"{e}\"" for e in ("from", "to"))
+_CENTRES = ", ".join(f"12.7::DOUBLE + {_EDGE8} * 1.5::DOUBLE * {e}.r / {hexes.KM_NORTH!r}::DOUBLE AS y{i}, 77.35::DOUBLE + {_EDGE8} * {_ROOT3} * ({e}.q + {e}.r / 2::DOUBLE) / {hexes.KM_EAST!r}::DOUBLE AS x{i}" for i, e in enumerate(("f", "t")))
+_SECONDS = "2 * 6371.0088::DOUBLE * atan2(sqrt({h}), sqrt(1 - {h})) / 30 * 3600"
+_HAVERSINE = "pow(sin(radians({y1} - {y0}) / 2), 2) + cos(radians({y0})) * cos(radians({y1})) * pow(sin(radians({x1} - {x0}) / 2), 2)"
+_ROUND = {c: f"(floor({c} * 1e3 + 0.5) / 1e3)" for c in ("y0", "y1", "x0", "x1")}
+
+
+@query(
+    f"""WITH {_PLAN}, g AS (SELECT q, r, 12.7::DOUBLE + {_EDGE8} * 1.5::DOUBLE * r / {hexes.KM_NORTH!r}::DOUBLE AS y, 77.35::DOUBLE + {_EDGE8} * {_ROOT3} * (q + r / 2::DOUBLE) / {hexes.KM_EAST!r}::DOUBLE AS x FROM range(-60, 120) t(q), range(-10, 100) u(r)),
+    cover AS (SELECT code, q, r FROM a, g WHERE {_INSIDE.format(x="x", y="y")}), core AS (SELECT region, code, buffer, q, r FROM plan JOIN cover USING (code)),
+    cell AS (SELECT DISTINCT region, q + dq AS q, r + dr AS r FROM core, range(-2, 3) t(dq), range(-2, 3) u(dr) WHERE abs(dq + dr) <= 2 AND (buffer > 0 OR (dq = 0 AND dr = 0))),
+    num AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY 'h8/' || q || '/' || r) - 1 AS number, count(*) OVER (PARTITION BY region) AS n FROM cell LEFT JOIN (SELECT region, q, r, min(code) AS code FROM core GROUP BY ALL) USING (region, q, r)),
+    probe AS (SELECT region, n, probe, {_DRAWN} FROM (SELECT DISTINCT region, n FROM num), range(2000) t(probe)),
+    pair AS (SELECT * FROM (SELECT region, "from", "to", row_number() OVER (PARTITION BY region ORDER BY min(probe)) AS k FROM probe WHERE "from" <> "to" GROUP BY region, "from", "to") WHERE k <= {_PAIRS}),
+    ways AS (SELECT p.region, f.code AS c0, t.code AS c1, {_CENTRES} FROM pair p JOIN num f ON f.region = p.region AND f.number = p."from" JOIN num t ON t.region = p.region AND t.number = p."to"),
+    h AS (SELECT *, {_HAVERSINE.format(y0="y0", y1="y1", x0="x0", x1="x1")} AS h0, {_HAVERSINE.format(**_ROUND)} AS h1 FROM ways),
+    s AS (SELECT region, c0, c1, CAST(CAST({_SECONDS.format(h="h0")} AS FLOAT) AS DOUBLE) AS seconds, {_SECONDS.format(h="h1")} AS live FROM h),
+    e AS (SELECT *, CASE WHEN live > 0 THEN 100 * abs(seconds - live) / live ELSE 0 END AS error FROM s),
+    z AS (SELECT region, count(*) AS samples, median(error) AS m, max(error) AS x, count(*) FILTER (WHERE c0 <> c1) AS cross_boundary, list_sort(list(seconds)) AS l FROM e GROUP BY region)
+    SELECT region, n AS cells, samples, floor(m * 1e6 + 0.5) / 1e6 AS median_error, floor(x * 1e6 + 0.5) / 1e6 AS max_error, cross_boundary,
+      {", ".join(f"floor(l[least(len(l) - 1, CAST(floor({f} * len(l)) AS BIGINT)) + 1] * 1e3 + 0.5) / 1e3 AS {q}" for f, q in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3")))}, CASE WHEN m < 5 AND x < 20 THEN 'PASS' ELSE 'FAIL' END AS status
+    FROM z JOIN (SELECT DISTINCT region, n FROM num) USING (region)"""
+)
+def routing_validation(spark: SparkSession, d: str) -> DataFrame:
+    store = Store(spark)
+    numbered = regions.cells(_plan(spark, d, store), areas(spark, d), 8, store)
+    found = regions.validation(numbered, _PAIRS, store)
+    found = found.withColumns({c: half_up(F.col(c), 6) for c in ("median_error", "max_error")} | {c: half_up(F.col(c), 3) for c in ("q1", "q2", "q3")})
+    out = store.cut(found, "validation")
+    store.close(out)
+    return out
