@@ -1,4 +1,4 @@
-"""The entity graph of incidents: a scenario for each head, all of its incidents in order of station and day."""
+"""The entity graph of incidents, a scenario for each head, and the hours of their kinds."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalogue import INCIDENTS, _hmac, query
-from wardline.plans import entities
+from wardline.functions.scalars import half_up
+from wardline.plans import entities, hours
 from wardline.sources.scratch import Store
-from wardline.sources.tables import incidents
+from wardline.sources.tables import incidents, table
 
 #: Entities of a cluster by scenario: people, vehicles, phones, accounts.
 _COUNTS = {"1-URGENT": (1, 2, 1, 0), "2-HIGH": (1, 0, 1, 4), "3-MEDIUM": (2, 0, 1, 0), "4-NOT SPECIFIED": (1, 2, 0, 0), "5-LOW": (2, 0, 1, 1)}
@@ -55,3 +56,35 @@ def entity_edges(spark: SparkSession, d: str) -> DataFrame:
         raise ValueError("an edge has an end that is no node")
     store.close(out)
     return out
+
+
+#: The donors' category of each head; one has none, one no donor.
+_DONORS = {"1-URGENT": "purchase", "2-HIGH": "error", "3-MEDIUM": "view", "5-LOW": "refund"}
+_KINDS = ("residential", "commercial", "transit", "outdoor")
+
+
+@query(
+    INCIDENTS
+    + f""", d AS (SELECT CASE WHEN kind = 'error' AND dayofweek(ts) = 0 THEN 'view' ELSE kind END AS c, [{", ".join(f"'{k}'" for k in _KINDS)}][click_id % 4 + 1] AS p, dayofweek(ts) AS w, hour(ts) AS h FROM clicks WHERE ts IS NOT NULL AND kind IS NOT NULL),
+    l AS (SELECT c, p, w, h, grouping_id(c, p, w) AS g, count(*) AS n FROM d GROUP BY GROUPING SETS ((c, p, w, h), (c, w, h), (c, h), (h))), t AS (SELECT c, p, w, g, sum(n) AS n FROM l GROUP BY ALL), big AS (SELECT h, n FROM l WHERE g = 7), tot AS (SELECT sum(n) AS n FROM big),
+    taxa AS (SELECT DISTINCT crime_group, head, CASE head {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _DONORS.items())} END AS category FROM inc),
+    s AS (SELECT *, CASE premise WHEN 'intersection' THEN 'outdoor' ELSE premise END AS dp FROM taxa, (VALUES {", ".join(f"('{p}')" for p in hours.PREMISES)}) x(premise), range(7) y(weekday)),
+    f AS (SELECT s.*, CASE WHEN category IS NULL THEN NULL WHEN a.n IS NOT NULL THEN 0 WHEN b.n IS NOT NULL THEN 2 WHEN e.n IS NOT NULL THEN 3 ELSE 7 END AS g, coalesce(a.n, b.n, e.n, (SELECT n FROM tot)) AS n FROM s
+      LEFT JOIN t a ON a.g = 0 AND a.c = category AND a.p = dp AND a.w = weekday LEFT JOIN t b ON b.g = 2 AND b.c = category AND b.w = weekday LEFT JOIN t e ON e.g = 3 AND e.c = category)
+    SELECT crime_group, head, category, premise, CAST(weekday AS INT) AS weekday, CASE f.g WHEN 0 THEN '{hours.LEVELS[0]}' WHEN 2 THEN '{hours.LEVELS[1]}' WHEN 3 THEN '{hours.LEVELS[2]}' WHEN 7 THEN '{hours.LEVELS[3]}' ELSE 'not_applicable' END AS level,
+      CAST(CASE WHEN f.g IS NULL THEN 0 ELSE f.n END AS BIGINT) AS observations, CAST(z.h AS INT) AS hour, CASE WHEN f.g IS NOT NULL THEN floor((coalesce(l.n, 0) + 48 * coalesce(big.n, 0) / (SELECT n FROM tot)) / (f.n + 48) * 1e9 + 0.5) / 1e9 END AS share
+    FROM f, range(24) z(h) LEFT JOIN l ON l.g = f.g AND l.h = z.h AND (f.g > 3 OR l.c = category) AND (f.g > 2 OR l.w = weekday) AND (f.g > 0 OR l.p = dp) LEFT JOIN big ON big.h = z.h"""
+)
+def time_model_profiles(spark: SparkSession, d: str) -> DataFrame:
+    clicks = table(spark, d, "clicks").filter("ts IS NOT NULL AND kind IS NOT NULL")
+    weekday = F.dayofweek("ts") - 1
+    donors = clicks.select(F.when((F.col("kind") == "error") & (weekday == 0), "view").otherwise(F.col("kind")).alias("category"), F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("click_id") % 4 + 1).cast("int")).alias("premise"), weekday.alias("weekday"), F.hour("ts").alias("hour"))
+    known = F.create_map(*[F.lit(x) for kv in _DONORS.items() for x in kv])
+    taxa = incidents(spark, d).select("crime_group", "head").distinct().withColumn("category", F.try_element_at(known, F.col("head")))
+    store = Store(spark)
+    fitted = hours.profiles(taxa, store.cut(hours.counts(donors), "levels"))
+    none = F.array(*[F.lit(None).cast("double")] * 24)
+    rows = fitted.select("crime_group", "head", "category", "premise", "weekday", "level", "observations", F.posexplode(F.coalesce("shares", none)).alias("hour", "share"))
+    out = store.cut(rows.withColumn("share", half_up(F.col("share"), 9)), "profiles")
+    store.close(out)
+    return out
