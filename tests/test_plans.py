@@ -131,7 +131,7 @@ def test_graphs(spark):
     assert got == [(1, 0), (2, 1), (3, 2)]
     clique = lambda first: [(first + i, first + j) for i in range(4) for j in range(i)]
     two = spark.createDataFrame([*clique(10), *clique(20), (10, 20), (40, 41)], "a long, b long")
-    assert {r.node: r.community for r in graph.louvain(two, store).collect()} == {**{10 + i: 10 for i in range(4)}, **{20 + i: 20 for i in range(4)}, 40: 40, 41: 40}
+    assert {r.node: r.community for r in graph.communities(two, store).collect()} == {**{10 + i: 10 for i in range(4)}, **{20 + i: 20 for i in range(4)}, 40: 40, 41: 40}
     store.close()
 
 
