@@ -239,3 +239,18 @@ def test_keys_come_again_when_they_have_expired(spark):
     gone = streams.arrive(df, F.col("part"), key(timedelta(milliseconds=1)), store, "gone", False).count()
     assert held == 1 and gone == 3
     store.close()
+
+
+def test_a_query_that_fails_leaves_nothing(spark):
+    from wardline.sources import scratch
+
+    @scratch.tidy
+    def query(spark, d):
+        store = Store(spark)
+        store.cut(spark.range(3), "first")
+        return store.cut(spark.range(3).select(F.raise_error(F.lit("no"))), "second")
+
+    before = set(scratch.made)
+    with pytest.raises(Exception, match="no"):
+        query(spark, "")
+    assert scratch.made == before

@@ -14,6 +14,7 @@ from wardline.functions import text as T
 from wardline.operators import relational as R
 from wardline.operators import text_search
 from wardline.plans.baselines import baselines, weekly_counts
+from wardline.sources.scratch import tidy
 from wardline.sources.tables import incidents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,7 @@ def query(sql: str | None) -> Callable[[Query], Query]:
     """Registers a query with its SQL; with none where SQL can't say it, and a test holds it to plain Python."""
 
     def keep(f: Query) -> Query:
+        f = tidy(f)
         QUERIES[f.__name__] = f
         if sql is not None:
             SQL[f.__name__] = sql

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions import geo, hashing
 from wardline.functions.scalars import half_up
 from wardline.operators.relational import top_per_group
+from wardline.sources.scratch import Store
 
 
 def placed(incidents: DataFrame) -> DataFrame:
@@ -28,16 +29,18 @@ def hotspots(rows: DataFrame, limit: int = 500) -> DataFrame:
     return totals.join(top("head"), "cell").join(top("station"), "cell").select("cell", "count", "top_head", "top_head_count", "top_station", "top_station_count")
 
 
-def explain(rows: DataFrame) -> DataFrame:
-    """What each cell's rows (cell, head, hour, premise, origin, station) say: counts, a paragraph and how sure the places are."""
+def explain(rows: DataFrame, store: Store) -> DataFrame:
+    """What each cell's rows (cell, head, hour, premise, origin, station) say: counts, a paragraph and how sure the places are. One aggregate of the finest groups, written once, feeds all counts."""
+    kinds = ("head", "hour", "premise", "station")
+    fine = store.cut(rows.groupBy("cell", *kinds, (F.col("origin") == "reported").alias("_reported")).agg(F.count("*").alias("n")), "cells")
 
     def ranked(c: str) -> DataFrame:
-        counts = rows.filter(F.col(c).isNotNull()).groupBy("cell", c).agg(F.count("*").alias("n"))
+        counts = fine.filter(F.col(c).isNotNull()).groupBy("cell", c).agg(F.sum("n").alias("n"))
         best = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(c).alias("value"))))
         return counts.groupBy("cell").agg(best.alias(c))
 
-    out = rows.groupBy("cell").agg(F.count("*").alias("total"), F.count_if(F.col("origin") == "reported").alias("reported"))
-    for c in ("head", "hour", "premise", "station"):
+    out = fine.groupBy("cell").agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("_reported"), F.col("n"))), F.lit(0)).alias("reported"))
+    for c in kinds:
         out = out.join(ranked(c), "cell", "left")
     top = lambda c: F.element_at(c, 1)["value"]
     share = F.floor(-F.element_at("head", 1)["n"] * 1000 / F.col("total") + 0.5) / 10

@@ -69,7 +69,10 @@ def _ranked(c: str) -> str:
 def explain(spark: SparkSession, d: str) -> DataFrame:
     rows, k = places.placed(incidents(spark, d)), F.col("incident_id")
     facts = rows.select("cell", "head", "station", (k % 24).alias("hour"), F.when(k % 3 == 0, "transit").when(k % 3 == 1, "commercial").otherwise("outdoor").alias("premise"), F.when(k % 5 < 3, "reported").otherwise("inferred").alias("origin"))
-    return places.explain(facts)
+    store = Store(spark)
+    out = store.cut(places.explain(facts, store), "explained")
+    store.close(out)
+    return out
 
 
 _KM = "6371.0088::DOUBLE * 2 * atan2(sqrt(h), sqrt(1 - h))"
@@ -250,20 +253,21 @@ def _cells(demand: DataFrame) -> DataFrame:
     SELECT scenario, budget, origin, count(*) AS reached FROM p, (VALUES (180), (300), (420), (600), (900)) t(budget) WHERE {_KM} / 30 * 3600 <= budget GROUP BY ALL"""
 )
 def coverage_pairs(spark: SparkSession, d: str) -> DataFrame:
-    reach = patrol.coverage(patrol.durations(_cells(_demand(spark, d))))
+    demand = Store(spark).cut(_demand(spark, d), "demand")
+    reach = patrol.coverage(patrol.durations(_cells(demand)))
     return reach.groupBy("scenario", "budget", "origin").agg(F.count("*").alias("reached"))
 
 
 @query(None)
 def optimise_greedy(spark: SparkSession, d: str) -> DataFrame:
-    demand = _demand(spark, d)
+    demand = Store(spark).cut(_demand(spark, d), "demand")
     reach = patrol.coverage(patrol.durations(_cells(demand))).filter("budget = 420").drop("budget")
     return patrol.deployments(demand, reach, 4)
 
 
 @query(None)
 def dispatch_simulation(spark: SparkSession, d: str) -> DataFrame:
-    demand = _demand(spark, d)
+    demand = Store(spark).cut(_demand(spark, d), "demand")
     times = patrol.durations(_cells(demand))
     posts = R.top_per_group(demand, ["scenario", "beat"], [F.col("demand").desc(), F.col("cell")]).select("scenario", F.col("beat").alias("unit"), "cell")
     event = H.stable_index("minute", F.concat_ws("|", "scenario", "cell", "beat"), "replay", 360)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +17,7 @@ import wardline
 cloudpickle.register_pickle_by_value(wardline)
 
 
+Query = Callable[..., DataFrame]
 #: Paths of this process under the shared folder that haven't been deleted.
 made: set[str] = set()
 
@@ -44,6 +48,21 @@ def forget(spark: SparkSession, *paths: str) -> None:
         made.discard(path)
 
 
+def tidy(query: Query) -> Query:
+    """The query, which deletes what it wrote to the shared folder if it fails."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *rest: Any, **more: Any) -> DataFrame:
+        before = set(made)
+        try:
+            return query(spark, *rest, **more)
+        except BaseException:
+            forget(spark, *(made - before))
+            raise
+
+    return run
+
+
 class Store:
     """The intermediate tables of one operator; what isn't kept goes when it is closed."""
 
