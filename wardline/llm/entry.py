@@ -23,6 +23,7 @@ from wardline.llm import (
     warc_archive,
 )
 from wardline.llm.common import table
+from wardline.sources.scratch import tidy
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,7 +99,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (op1_secret_scans, op2_ngram_jaccard, op3_warc, op4_pii, op5_embedding_dedup, op6_quality_rules, op7_toxicity, op8_mixing, op9_sentencepiece, op10_chat, op11_late_sessions, op12_decontamination, op13_prefix_trie)
-QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
+QUERIES: dict[str, Query] = {f.__name__: tidy(f) for f in _ALL}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _REACH = """
