@@ -74,3 +74,22 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     dp, dl = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     h = F.pow(F.sin(dp / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dl / 2), 2)
     return F.lit(2 * 6371.0088) * F.atan2(F.sqrt(h), F.sqrt(1 - h))
+
+
+def week_index(day: Column, first: Column) -> Column:
+    """The number of weeks from a day to another, to the nearest."""
+    return F.floor(F.datediff(day, first) / 7 + 0.5).cast("long")
+
+
+def path_tail(c: Column, separator: str = "::") -> Column:
+    """What follows the last separator."""
+    return F.element_at(F.split(c, separator), -1)
+
+
+def donor_timestamp(day: Column, clock: Column) -> Column:
+    """'2024 Jan 05 ...' and '930' as 2024-01-05T09:30:00+05:30; hours and minutes beyond a day's are its last, a clock that isn't a number is midnight. A day that can't be read is an error."""
+    date = F.try_to_date(F.substring(day, 1, 11), "yyyy MMM dd")
+    date = F.when(date.isNull(), F.raise_error(F.concat(F.lit("unparseable source date: "), F.coalesce(day, F.lit("")))).cast("date")).otherwise(date)
+    padded = F.lpad(F.coalesce(clock, F.lit("")), 4, "0")
+    part = lambda at, most: F.lpad(F.least(F.coalesce(F.substring(padded, at, 2).try_cast("int"), F.lit(0)), F.lit(most)).cast("string"), 2, "0")
+    return F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit("T"), part(1, 23), F.lit(":"), part(3, 59), F.lit(":00+05:30"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -123,12 +123,27 @@ def count_maps_differ(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("differs", ~F.col("n_open").eqNullSafe(F.col("n_closed")))
 
 
-_PATHS = {"convicted": "registered>investigated>charged>tried>convicted", "acquitted": "registered>investigated>charged>tried>acquitted", "undetected": "registered>investigated>undetected", "transferred": "registered>transferred"}
-_PATH_SQL = "WITH p(stage, path, n) AS (SELECT stage, path, count(*) FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'convicted' WHEN 1 THEN 'acquitted' WHEN 2 THEN 'undetected' ELSE 'transferred' END AS stage FROM orders) JOIN (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _PATHS.items()) + ") t(k, path) ON k = stage GROUP BY ALL)"
+#: The way of a case to each stage that it may end in.
+_PATHS = {
+    "pending_trial": "registered>under_investigation>traced>chargesheeted>pending_trial",
+    "undetected": "registered>under_investigation>undetected",
+    "convicted": "registered>under_investigation>traced>chargesheeted>pending_trial>convicted",
+    "traced": "registered>under_investigation>traced",
+    "under_investigation": "registered>under_investigation",
+    "false_case": "registered>under_investigation>false_case",
+    "compounded": "registered>under_investigation>traced>compounded",
+    "discharged_acquitted": "registered>under_investigation>traced>chargesheeted>pending_trial>discharged_acquitted",
+    "bound_over": "registered>under_investigation>traced>bound_over",
+    "other_disposal": "registered>under_investigation>other_disposal",
+    "un_traced": "registered>under_investigation>traced>un_traced",
+    "abated": "registered>under_investigation>traced>chargesheeted>pending_trial>abated",
+    "transferred": "registered>transferred",
+}
+_PATH_SQL = f"WITH p(stage, path, n) AS (SELECT stage, path, count(*) FROM (SELECT [{', '.join(f"'{k}'" for k in _PATHS)}][o_orderkey % {len(_PATHS)} + 1] AS stage FROM orders) JOIN (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _PATHS.items()) + ") t(k, path) ON k = stage GROUP BY ALL)"
 
 
 def _flows(spark: SparkSession, d: str) -> DataFrame:
-    stage = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("o_orderkey") % 4).cast("int") + 1)
+    stage = F.element_at(F.array(*map(F.lit, _PATHS)), (F.col("o_orderkey") % len(_PATHS)).cast("int") + 1)
     counts = table(spark, d, "orders").groupBy(stage.alias("stage")).agg(F.count("*").alias("n"))
     path = F.split(F.element_at(F.create_map(*[F.lit(x) for kv in _PATHS.items() for x in kv]), F.col("stage")), ">")
     edges = counts.select("n", F.explode(F.arrays_zip(F.slice(path, 1, F.size(path) - 1).alias("a"), F.slice(path, 2, F.size(path) - 1).alias("b"))).alias("e"))
@@ -212,3 +227,57 @@ def random_order_sample(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_orderkey").cast("string")
     rows = table(spark, d, "orders").select("o_orderkey", H.stable_index("sample", key, "replay", 360).alias("minute"), H.stable_index("order", key, "replay", 1_000_000).alias("place"))
     return rows.orderBy("place", "o_orderkey").limit(120).drop("place")
+
+
+_VICTIMS = {"male": "incident_id % 2", "female": "incident_id % 3 // 2", "boy": "incident_id % 5 // 4", "girl": "incident_id % 7 // 6"}
+
+
+@query(
+    INCIDENTS
+    + f""", a AS (SELECT *, crime_group = 'MACHINERY' AS cyber, strftime(registered_on, '%Y-%m') AS month, year(registered_on)::VARCHAR AS y, ['online', 'written', 'oral'][incident_id % 3 + 1] AS mode, registered_on <= DATE '2000-12-31' AS whole FROM inc), c AS (SELECT * FROM a WHERE cyber)
+    SELECT 'summary' AS kind, 'cyber_records' AS k1, NULL::VARCHAR AS k2, count(*) FILTER (WHERE cyber) AS n, count(*) AS m, floor(count(*) FILTER (WHERE cyber) * 10000.0 / count(*) + 0.5) / 100 AS share, NULL::BOOLEAN AS partial_window FROM a
+    UNION ALL SELECT 'month', month, NULL, count(*) FILTER (WHERE cyber), count(*), NULL, NOT bool_and(whole) FROM a GROUP BY month
+    UNION ALL SELECT * FROM (SELECT 'section', head || ' ' || station, NULL, count(*) AS n, NULL, NULL, NULL FROM c GROUP BY head, station ORDER BY n DESC, head || ' ' || station LIMIT 18)
+    UNION ALL SELECT 'mode', mode, NULL, count(*), NULL, NULL, NULL FROM c GROUP BY mode
+    UNION ALL SELECT 'mode_year', y, mode, count(*), NULL, NULL, NULL FROM c GROUP BY y, mode
+    UNION ALL SELECT 'outcome', stage, NULL, count(*), NULL, NULL, NULL FROM c GROUP BY stage
+    {" ".join(f"UNION ALL SELECT 'victims', '{k}', NULL, CAST(sum({v}) AS BIGINT), NULL, NULL, NULL FROM c" for k, v in _VICTIMS.items())}"""
+)
+def cyber_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    """All that the cyber wing shows, from one aggregate of the finest cells."""
+    store = Store(spark)
+    inc, k = incidents(spark, d), F.col("incident_id")
+    day = F.col("registered_on")
+    keys = {"cyber": F.col("crime_group") == "MACHINERY", "month": F.date_format(day, "yyyy-MM"), "y": F.year(day).cast("string"), "mode": F.element_at(F.array(*map(F.lit, ("online", "written", "oral"))), (k % 3 + 1).cast("int")), "section": F.concat_ws(" ", "head", "station"), "stage": F.col("stage"), "whole": day <= F.lit("2000-12-31").cast("date")}
+    sums = [F.sum(F.expr(v.replace("//", "div"))).cast("long").alias(name) for name, v in _VICTIMS.items()]
+    fine = store.cut(inc.groupBy(*[c.alias(name) for name, c in keys.items()]).agg(F.count("*").alias("n"), *sums), "cells")
+    cyber = fine.filter("cyber")
+    none = {"k2": F.lit(None).cast("string"), "m": F.lit(None).cast("long"), "share": F.lit(None).cast("double"), "partial_window": F.lit(None).cast("boolean")}
+
+    def said(df: DataFrame, kind: str, k1: Column, **more: Column) -> DataFrame:
+        own = none | more
+        return df.select(F.lit(kind).alias("kind"), k1.alias("k1"), own["k2"].alias("k2"), "n", *[own[c].alias(c) for c in ("m", "share", "partial_window")])
+
+    by = lambda *c: cyber.groupBy(*c).agg(F.sum("n").alias("n"))
+    of_cyber = F.coalesce(F.sum(F.when(F.col("cyber"), F.col("n"))), F.lit(0)).alias("n")
+    whole = fine.agg(of_cyber, F.sum("n").alias("all"))
+    month = fine.groupBy("month").agg(of_cyber, F.sum("n").alias("all"), (~F.bool_and("whole")).alias("partial"))
+    rows = said(whole, "summary", F.lit("cyber_records"), m=F.col("all"), share=F.floor(F.col("n") * 10000.0 / F.col("all") + 0.5) / 100)
+    rows = rows.unionAll(said(month, "month", F.col("month"), m=F.col("all"), partial_window=F.col("partial")))
+    rows = rows.unionAll(said(by("section").orderBy(F.col("n").desc(), "section").limit(18), "section", F.col("section")))
+    rows = rows.unionAll(said(by("mode"), "mode", F.col("mode"))).unionAll(said(by("y", "mode"), "mode_year", F.col("y"), k2=F.col("mode"))).unionAll(said(by("stage"), "outcome", F.col("stage")))
+    for name in _VICTIMS:
+        rows = rows.unionAll(said(cyber.agg(F.sum(name).alias("n")), "victims", F.lit(name)))
+    out = store.cut(rows, "wing")
+    store.close(out)
+    return out
+
+
+@query("SELECT l_suppkey AS origin, l_partkey AS dest, row_number() OVER (ORDER BY l_suppkey, l_partkey) AS place FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)")
+def pair_order(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs in the order of their numbers, not of their texts; places are taken by ranges."""
+    store = Store(spark)
+    pairs = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("origin"), F.col("l_partkey").alias("dest")).distinct()
+    out = store.cut(running(pairs, [F.col("origin"), F.col("dest")], {}, store, "place"), "ordered")
+    store.close(out)
+    return out

@@ -122,3 +122,13 @@ def grades(spark: SparkSession, d: str) -> DataFrame:
 def row_identity(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("s_suppkey").cast("string")
     return table(spark, d, "supplier").select("s_suppkey", H.uuid5(F.concat(F.lit("abc|"), key)).alias("id"), F.sha2(F.concat(F.lit("row|"), key), 256).alias("digest"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || 'T' || lpad(least(hh, 23)::VARCHAR, 2, '0') || ':' || lpad(least(mi, 59)::VARCHAR, 2, '0') || ':00+05:30' AS occurred_at, CAST(floor(date_diff('day', DATE '1995-01-02', o_orderdate::DATE) / 7 + 0.5) AS BIGINT) AS week_number, o_orderstatus AS tail
+    FROM (SELECT *, o_custkey * 37 % 2600 // 100 AS hh, o_custkey * 37 % 2600 % 100 AS mi FROM orders)""")
+def donor_times(spark: SparkSession, d: str) -> DataFrame:
+    """Times as donors write them: a day in words and a clock without leading zeros."""
+    day, clock = F.date_format("o_orderdate", "yyyy MMM dd 00:00"), (F.col("o_custkey") * 37 % 2600).cast("string")
+    first = F.lit("1995-01-02").cast("date")
+    tail = S.path_tail(F.concat_ws("::", "o_orderpriority", "o_orderstatus"))
+    return table(spark, d, "orders").select("o_orderkey", S.donor_timestamp(day, clock).alias("occurred_at"), S.week_index(F.to_date("o_orderdate"), first).alias("week_number"), tail.alias("tail"))
