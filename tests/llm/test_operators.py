@@ -5,6 +5,7 @@ import os
 import random
 import re
 import struct
+import zlib
 from collections import Counter
 
 import pytest
@@ -500,3 +501,15 @@ def test_empty_tables(spark):
     none = docs(spark, [])
     assert secret_ledger.secrets(none).isEmpty() and quality_divergence.accepted(none).isEmpty()
     assert pii_feistel.pseudonymise(none, KEY).isEmpty() and source_mixing.mix(none).isEmpty()
+
+
+def test_training_texts_are_bounded_in_bytes(spark):
+    """Long texts are left out whole, in the order of the ids' hash; no text is cut."""
+    long_ = "word " * 4000
+    df = spark.createDataFrame([(i, long_ if i % 2 else f"short {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 4 // 2) for i in range(200)], "doc_id long, toxic int")
+    whole = toxicity_ssk.training(df, labels)
+    some = toxicity_ssk.training(df, labels, max_bytes=10 * len(long_))
+    assert sum(len(t) for t, _ in some) <= 10 * len(long_) < sum(len(t) for t, _ in whole)
+    assert 10 <= len(some) < len(whole) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(200)) and {t for t, _ in some} <= {t for t, _ in whole}
+    assert {label for _, label in some} == {0, 1} and toxicity_ssk.training(df, labels, max_bytes=1) == []

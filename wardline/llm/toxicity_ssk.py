@@ -39,6 +39,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Characters with a class of their own; other letters share one, and so do the edges of words.
@@ -55,6 +56,8 @@ DISGUISE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"
 BLOCK = 1 << 17
 #: Labelled documents that the machine is fitted to, at most; half of each label.
 MAX_DOCS = 4000
+#: Bytes of their texts, at most: documents beyond are left out whole, in the order in which they are picked.
+MAX_BYTES = 64 << 20
 #: Windows of clean sentences in a fit, at most: a hash picks them, and the hardest of all come in each round.
 MAX_CLEAN = 12000
 
@@ -433,17 +436,25 @@ def tops(machine: Machine, texts: list[str | None]) -> list[tuple[float, float,
     return out
 
 
-def training(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> list[tuple[str, int]]:
-    """At most max_docs labelled texts outside the held-out fifth, picked by a hash of the id, half of each label at most.
+def training(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> list[tuple[str, int]]:
+    """At most max_docs labelled texts and max_bytes of them, outside the held-out fifth, picked by a hash of the id, half of each label at most.
 
-    Of rows that repeat an id the first text counts, and the sample is cut before it leaves the executors.
+    Of rows that repeat an id the least text counts. What is taken is settled by sizes before any text leaves the
+    executors: of each label in turn the next document, as long as all up to it fit.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most"))
     known = known.filter((F.col("toxic") == F.col("_most")) & (fold != 0)).drop("_most")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     half = [known.filter(F.col("toxic") == k).orderBy(*order).limit(max_docs // 2) for k in (1, 0)]
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(half[0].unionByName(half[1]), "doc_id")
+    picked = half[0].unionByName(half[1])
+    text = F.coalesce("text", F.lit(""))
+    sizes = docs.select("doc_id", F.octet_length(text).cast("long").alias("size")).join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.max("size").alias("size"))
+    # max_docs rows at most, a few numbers each.
+    turn = F.row_number().over(W.partitionBy("toxic").orderBy(*order))
+    upto = F.sum("size").over(W.orderBy("turn", "toxic", *order).rowsBetween(W.unboundedPreceding, 0))
+    taken = sizes.withColumn("turn", turn).withColumn("upto", upto).filter(F.col("upto") <= max_bytes).select("doc_id", "toxic")
+    rows = docs.select("doc_id", text.alias("text")).join(taken, "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy(*order).limit(max_docs)
     return [(r.text, r.toxic) for r in rows.collect()]
 
