@@ -33,6 +33,10 @@ INCIDENTS = """
 WINDOW_END = "2000-12-31"
 
 
+#: Stages that a case of each status went through.
+_WAYS = {"O": ("registered", "under_investigation"), "P": ("registered", "under_investigation", "traced", "chargesheeted", "pending_trial"), "F": ("registered", "under_investigation", "undetected")}
+
+
 def query(sql: str | None) -> Callable[[Query], Query]:
     """Registers a query with its SQL; with none where SQL can't say it, and a test holds it to plain Python."""
 
@@ -125,7 +129,8 @@ def filtered_aggs(spark: SparkSession, d: str) -> DataFrame:
     SELECT 'stage' AS dimension_type, stage, NULL::VARCHAR AS station, NULL::INT AS fir_year, NULL::VARCHAR AS age_bucket, count(*) AS record_count FROM b GROUP BY stage
     UNION ALL SELECT 'year', stage, NULL, y, NULL, count(*) FROM b GROUP BY stage, y
     UNION ALL SELECT 'station', stage, station, NULL, NULL, count(*) FROM b GROUP BY stage, station
-    UNION ALL SELECT 'ageing', NULL, station, NULL, age, count(*) FROM b WHERE age IS NOT NULL GROUP BY station, age"""
+    UNION ALL SELECT 'ageing', NULL, station, NULL, age, count(*) FROM b WHERE age IS NOT NULL GROUP BY station, age
+    UNION ALL SELECT 'modelled_flow', w[i], w[i + 1], NULL, NULL, count(*) FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT CASE stage {" ".join(f"WHEN '{k}' THEN {list(v)!r}" for k, v in _WAYS.items())} END AS w FROM b)) GROUP BY w[i], w[i + 1]"""
 )
 def justice_cube(spark: SparkSession, d: str) -> DataFrame:
     days = F.when(F.col("stage") != "F", F.datediff(F.lit(WINDOW_END).cast("date"), "registered_on"))
@@ -136,8 +141,13 @@ def justice_cube(spark: SparkSession, d: str) -> DataFrame:
     stage, station, year, age = (F.col(c) for c in ("stage", "station", "fir_year", "age_bucket"))
     cube = cells.groupingSets([(stage,), (stage, year), (stage, station), (station, age)], stage, station, year, age).agg(F.grouping_id().alias("g"), F.sum("n").alias("record_count"))
     kind = F.when(F.col("g") == 7, "stage").when(F.col("g") == 5, "year").when(F.col("g") == 3, "station").otherwise("ageing")
-    cube = cube.select(kind.alias("dimension_type"), "stage", "station", "fir_year", "age_bucket", "record_count")
-    return cube.filter("dimension_type <> 'ageing' OR age_bucket IS NOT NULL")
+    cube = cube.select(kind.alias("dimension_type"), "stage", "station", "fir_year", "age_bucket", "record_count").filter("dimension_type <> 'ageing' OR age_bucket IS NOT NULL")
+    # The fifth branch is modelled: each stage's cases went the way to it.
+    way = F.element_at(F.create_map(*[x for k, v in _WAYS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), stage)
+    steps = F.arrays_zip(F.slice(way, 1, F.size(way) - 1).alias("a"), F.slice(way, 2, F.size(way) - 1).alias("b"))
+    flow = cells.groupBy("stage").agg(F.sum("n").alias("n")).select("n", F.explode(steps).alias("e")).groupBy("e.a", "e.b").agg(F.sum("n").alias("record_count"))
+    none = lambda t: F.lit(None).cast(t)
+    return cube.unionByName(flow.select(F.lit("modelled_flow").alias("dimension_type"), F.col("a").alias("stage"), F.col("b").alias("station"), none("int").alias("fir_year"), none("string").alias("age_bucket"), "record_count"))
 
 
 @query(INCIDENTS + ", c AS (SELECT station, head, count(*) AS n FROM inc GROUP BY ALL) SELECT station, head, n FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY n DESC, head) AS r FROM c) WHERE r = 1")

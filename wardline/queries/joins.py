@@ -137,11 +137,13 @@ def first_wins(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("l_suppkey", "l_returnflag", "m.l_orderkey", "m.l_linenumber")
 
 
-@query("""WITH s AS (SELECT l_suppkey AS unit, list_distinct(list(l_partkey % 64)) AS cells FROM lineitem GROUP BY 1) SELECT unit % 5 AS team, count(DISTINCT c) AS covered FROM (SELECT unit, unnest(cells) AS c FROM s) GROUP BY 1""")
+@query("""WITH s AS (SELECT l_suppkey AS unit, list_distinct(list(l_partkey)) AS cells FROM lineitem GROUP BY 1) SELECT unit % 5 AS team, count(DISTINCT c) AS covered FROM (SELECT unit, unnest(cells) AS c FROM s) GROUP BY 1""")
 def coverage_union(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("team"), F.expr("shiftleft(1L, CAST(l_partkey % 64 AS INT))").alias("bit"))
-    # Coverage as the bits of one long: an aggregate with map-side combine.
-    return rows.groupBy("team").agg(F.bit_count(F.bit_or("bit")).cast("long").alias("covered"))
+    """What a team's units cover together: bitsets of as many words as cells need, each word an aggregate with map-side combine."""
+    cell = F.col("l_partkey")
+    rows = table(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("team"), F.expr("l_partkey div 64").alias("word"), F.expr("shiftleft(1L, CAST(l_partkey % 64 AS INT))").alias("bit")).filter(cell.isNotNull())
+    words = rows.groupBy("team", "word").agg(F.bit_or("bit").alias("bits"))
+    return words.groupBy("team").agg(F.sum(F.bit_count("bits")).cast("long").alias("covered"))
 
 
 @query("SELECT o_custkey, o_orderkey, r FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 3")
