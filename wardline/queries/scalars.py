@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.catalogue import query
+from wardline.catalogue import _hmac, query
 from wardline.functions import hashing as H
 from wardline.functions import scalars as S
 from wardline.functions import text as T
+from wardline.plans import signatures
+from wardline.sources.scratch import Store
 from wardline.sources.tables import table
 
 
@@ -132,3 +134,41 @@ def donor_times(spark: SparkSession, d: str) -> DataFrame:
     first = F.lit("1995-01-02").cast("date")
     tail = S.path_tail(F.concat_ws("::", "o_orderpriority", "o_orderstatus"))
     return table(spark, d, "orders").select("o_orderkey", S.donor_timestamp(day, clock).alias("occurred_at"), S.week_index(F.to_date("o_orderdate"), first).alias("week_number"), tail.alias("tail"))
+
+
+def _slot(stage: str, block: tuple[int, int]) -> str:
+    return f"lambda w: {block[0]} + CAST(CAST('0x' || substr({_hmac(f"'1|{stage}|' || w || '|{signatures.LAYOUT}'")}, 1, 16) AS UBIGINT) % {block[1]} AS BIGINT)"
+
+
+_ARMS_SQL = "[" + ", ".join(f"'{a}'" for a in _ARMS) + f"][p_partkey % {len(_ARMS)} + 1] || ' ' || p_name"
+_OF = lambda labels, first: "list_transform({}, lambda x: " + f"list_position([{', '.join(f"'{x}'" for x in labels)}], x) - 1 + {first})"
+
+
+@query(
+    f"""WITH p AS (SELECT *, upper(replace(p_brand, '#', '')) AS b, p_partkey % 26 AS h, p_partkey % 2 AS m, p_partkey % 3 // 2 AS f, p_partkey % 5 // 4 AS y, upper({_ARMS_SQL}) AS arms FROM part),
+    t AS (SELECT *, list_distinct([upper(p_type) || ' ACT::' || (p_size + 1), b || ' CODE::' || (p_size + 2) || 'A', b || ' CODE::' || (p_size + 3)]) AS s FROM p),
+    v AS (SELECT x FROM (SELECT unnest(s) AS x FROM t) GROUP BY x ORDER BY count(*) DESC, x LIMIT {signatures.TOP}), k AS (SELECT list(x) AS known FROM v),
+    a AS (SELECT p_partkey, list_transform(list_filter(s, lambda x: list_contains(known, x)), {_slot("mo_section_feature", signatures.SECTIONS)}) AS a,
+      list_transform(list_distinct(list_filter(string_split_regex(upper(p_name || ' ' || p_type), '[^A-Z]+'), lambda w: length(w) >= 3 AND w NOT IN ({", ".join(f"'{w}'" for w in T.PLACE_STOP_WORDS)}))), {_slot("mo_premise_feature", signatures.PREMISE)}) AS b,
+      CASE WHEN h < 24 THEN [{signatures.TIME} + h // 4] ELSE [] END AS c,
+      {_OF(signatures.VICTIMS, signatures.VICTIM).format("list_filter([CASE WHEN m > 0 THEN 'male' END, CASE WHEN f > 0 THEN 'female' END, CASE WHEN y > 0 THEN 'boy' END, CASE WHEN m + f + y > 1 THEN 'multiple' END, CASE WHEN m + f + y = 0 THEN 'none' END], lambda x: x IS NOT NULL)")} AS d,
+      list_filter([{", ".join(f"CASE WHEN regexp_matches(arms, '\\b(?:{w})\\b') THEN {signatures.WEAPON + i} END" for i, w in enumerate(T.WEAPONS.values()))}], lambda x: x IS NOT NULL) AS w, arms FROM t, k)
+    SELECT p_partkey, array_to_string(list_transform(range(0, 64), lambda i: CASE WHEN list_contains(a, i) OR list_contains(b, i) OR list_contains(c, i) OR list_contains(d, i) OR list_contains(w, i)
+      OR (i = 63 AND len(w) = 0 AND regexp_matches(arms, '\\b(?:{T.OTHER_WEAPON})\\b')) THEN 1 ELSE 0 END), '') AS bits FROM a"""
+)
+def mo_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """All five blocks of a signature; sections count if they are among the two hundred commonest."""
+    store, k = Store(spark), F.col("p_partkey")
+    brand, size = F.upper(F.replace("p_brand", F.lit("#"), F.lit(""))), F.col("p_size")
+    said = F.concat(F.lower("p_type"), F.lit("  Act U/s: "), (size + 1).cast("string"), F.lit(" "), brand, F.lit(" CODE u/s:"), (size + 2).cast("string"), F.lit("a , "), (size + 3).cast("string"), F.lit(",?!"))
+    arms = F.concat(F.element_at(F.array(*map(F.lit, _ARMS)), (k % len(_ARMS) + 1).cast("int")), F.lit(" "), "p_name")
+    rows = table(spark, d, "part").select("p_partkey", T.section_tokens(T.sections(said)).alias("sections"), T.premise_tokens(F.concat_ws(" ", "p_name", "p_type")).alias("places"), T.time_band(k % 26).alias("band"), T.victim_profile(k % 2, F.floor(k % 3 / 2), F.floor(k % 5 / 4), F.lit(0)).alias("victims"), T.weapons(arms).alias("weapons"))
+    rows = store.cut(rows, "parsed")
+    known = signatures.vocabulary(rows, F.col("sections")).agg(F.collect_list("token").alias("known"))
+    rows = rows.withColumn("known", known.scalar())
+    found = signatures.slots(F.col("sections"), F.col("known"), F.col("places"), F.col("band"), F.col("victims"), F.col("weapons"))
+    rows = store.cut(rows.select("p_partkey", found.alias("slots")), "slots")  # written, so that each slot is hashed once
+    bits = F.array_join(F.transform(signatures.vector(F.col("slots")), lambda x: x.cast("int").cast("string")), "")
+    out = store.cut(rows.select("p_partkey", bits.alias("bits")), "signatures")
+    store.close(out)
+    return out
