@@ -454,7 +454,8 @@ def training(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_b
     turn = F.row_number().over(W.partitionBy("toxic").orderBy(*order))
     upto = F.sum("size").over(W.orderBy("turn", "toxic", *order).rowsBetween(W.unboundedPreceding, 0))
     taken = sizes.withColumn("turn", turn).withColumn("upto", upto).filter(F.col("upto") <= max_bytes).select("doc_id", "toxic")
-    rows = docs.select("doc_id", text.alias("text")).join(taken, "doc_id")
+    # max_docs ids at most: broadcast, so that no other text moves.
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(taken), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy(*order).limit(max_docs)
     return [(r.text, r.toxic) for r in rows.collect()]
 
