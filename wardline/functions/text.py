@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -63,6 +64,11 @@ def edged(pattern: str) -> str:
     return pattern.replace(r"\b", EDGE)
 
 
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), where c is worked out once: a lambda's body would work it out again for each element that it looks at."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def fold(c: Column) -> Column:
     """The key of a label for comparison."""
     return F.lower(label(c))
@@ -197,7 +203,8 @@ def severity_weight(head: Column) -> Column:
 
 def one_hot(slots: Column, size: int) -> Column:
     """An array of size zeros with ones at slots."""
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(F.array_contains(slots, i.cast("long")), 1.0).otherwise(0.0))
+    at = F.sequence(F.lit(0), F.lit(size - 1))
+    return once(slots, lambda known: F.transform(at, lambda i: F.when(F.array_contains(known, i.cast("long")), 1.0).otherwise(0.0)))
 
 
 #: Words of an offence's group and head, and the category that the first of them to fit decides; none for the first.
