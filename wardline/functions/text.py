@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -64,6 +65,13 @@ def edged(pattern: str) -> str:
     return pattern.replace(r"\b", EDGE)
 
 
+def has(c: Column, pattern: str) -> Column:
+    """Whether c matches one of a pattern's alternatives of plain words, with edges or .* between: the words are looked for first, as edges are costly to try at each place."""
+    ways = [way.split(".*") for way in re.sub(r"\\b|\(\?:|\)", "", pattern).split("|")]
+    there = [reduce(lambda a, b: a & b, [F.contains(c, F.lit(words)) for words in way]) for way in ways]
+    return reduce(lambda a, b: a | b, there) & c.rlike(edged(pattern))
+
+
 def once(c: Column, use: Callable[[Column], Column]) -> Column:
     """use(c), where c is worked out once: a lambda's body would work it out again for each element that it looks at."""
     return F.element_at(F.transform(F.array(c), use), 1)
@@ -245,27 +253,28 @@ DONOR_SEX = {"M": "male", "F": "female", "X": "other_or_unknown", "H": "other_or
 
 def _first(c: Column, rules: list[tuple[str, Column]], otherwise: Column) -> Column:
     """The value of the first rule whose words stand in c."""
-    has = lambda words: c.rlike(edged(rf"\b(?:{words})\b"))
     words, value = rules[0]
-    return reduce(lambda acc, r: acc.when(has(r[0]), r[1]), rules[1:], F.when(has(words), value)).otherwise(otherwise)
+    found = lambda words: has(c, rf"\b(?:{words})\b")
+    return reduce(lambda acc, r: acc.when(found(r[0]), r[1]), rules[1:], F.when(found(words), value)).otherwise(otherwise)
 
 
 def donor_category(group: Column, head: Column) -> Column:
     """The category of an offence; null for cyber offences and missing people."""
     c = F.upper(F.concat_ws(" ", F.coalesce(group, F.lit("")), F.coalesce(head, F.lit(""))))
-    return _first(c, [(words, F.lit(name).cast("string")) for words, name in CATEGORIES], F.lit("other_incident"))
+    return once(c, lambda text: _first(text, [(words, F.lit(name).cast("string")) for words, name in CATEGORIES], F.lit("other_incident")))
 
 
 def donor_premise(c: Column) -> Column:
     """struct<category, broad> of a premise's description."""
-    text, kind = F.upper(F.coalesce(c, F.lit(""))), lambda a, b: F.struct(F.lit(a).alias("category"), F.lit(b).alias("broad"))
-    return F.when(text == "", kind("unknown", "built_other")).otherwise(_first(text, [(words, kind(a, b)) for words, a, b in DONOR_PREMISES], kind("built_other", "built_other")))
+    kind = lambda a, b: F.struct(F.lit(a).alias("category"), F.lit(b).alias("broad"))
+    found = lambda text: _first(text, [(words, kind(a, b)) for words, a, b in DONOR_PREMISES], kind("built_other", "built_other"))
+    return once(F.upper(F.coalesce(c, F.lit(""))), lambda text: F.when(text == "", kind("unknown", "built_other")).otherwise(found(text)))
 
 
 def donor_weapon(c: Column) -> Column:
     """The kind of a weapon; '' where nothing is said."""
-    text = F.upper(F.coalesce(c, F.lit("")))
-    return F.when(text == "", "").otherwise(_first(text, [(words, F.lit(name)) for words, name in DONOR_WEAPONS], F.lit("other_weapon")))
+    found = lambda text: _first(text, [(words, F.lit(name)) for words, name in DONOR_WEAPONS], F.lit("other_weapon"))
+    return once(F.upper(F.coalesce(c, F.lit(""))), lambda text: F.when(text == "", "").otherwise(found(text)))
 
 
 def _by_code(c: Column, known: dict[str, str]) -> Column:
@@ -324,17 +333,24 @@ LABEL_CUTS = ((r"(?i)\$\s*[\d,.]+(?:\s*&?\s*(?:OVER|UNDER))?", ""), (r"(?i)\b(?:
 
 def clean_label(c: Column) -> Column:
     """A description as a name: without amounts and degrees, small letters and digits with _ between."""
-    plain = reduce(lambda acc, cut: F.regexp_replace(acc, edged(cut[0]), cut[1]), LABEL_CUTS, F.coalesce(c, F.lit("")))
+    def cut(acc: Column, rule: tuple[str, str]) -> Column:
+        words = re.findall("[A-Z]{4,}", rule[0]) if r"\b" in rule[0] else []
+        done = F.regexp_replace(acc, edged(rule[0]), rule[1])
+        # Words with edges are looked for first; other cuts are cheap.
+        return once(acc, lambda x: F.when(has(F.upper(x), "|".join(words)), F.regexp_replace(x, edged(rule[0]), rule[1])).otherwise(x)) if words else done
+
+    plain = reduce(cut, LABEL_CUTS, F.coalesce(c, F.lit("")))
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(plain)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
 def donor_crime(c: Column) -> Column:
     """struct<category, subcategory> of an offence's description; what no pattern fits is an incident named by its label."""
-    upper = F.upper(F.coalesce(c, F.lit("")))
+    def found(upper: Column) -> Column:
+        def kind(a: str, b: str) -> Column:
+            stolen = F.contains(upper, F.lit("VEHICLE")) & F.lit(b == "burglary")
+            return F.struct(F.lit(a).alias("category"), F.when(stolen, "theft_from_vehicle").otherwise(b).alias("subcategory"))
 
-    def kind(pattern: str, a: str, b: str) -> Column:
-        stolen = F.contains(upper, F.lit("VEHICLE")) & F.lit(b == "burglary")
-        return F.struct(F.lit(a).alias("category"), F.when(stolen, "theft_from_vehicle").otherwise(b).alias("subcategory"))
+        other = F.struct(F.lit("other_incident").alias("category"), F.coalesce(F.nullif(clean_label(c), F.lit("")), F.lit("other")).alias("subcategory"))
+        return reduce(lambda acc, r: acc.when(has(upper, r[0]), kind(*r[1:])), CRIMES[1:], F.when(has(upper, CRIMES[0][0]), kind(*CRIMES[0][1:]))).otherwise(other)
 
-    other = F.struct(F.lit("other_incident").alias("category"), F.coalesce(F.nullif(clean_label(c), F.lit("")), F.lit("other")).alias("subcategory"))
-    return reduce(lambda acc, r: acc.when(upper.rlike(edged(r[0])), kind(*r)), CRIMES[1:], F.when(upper.rlike(edged(CRIMES[0][0])), kind(*CRIMES[0]))).otherwise(other)
+    return once(F.upper(F.coalesce(c, F.lit(""))), found)
