@@ -161,26 +161,30 @@ def section_tokens(acts: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(acts, lambda a: F.transform(a["sections"], lambda s: F.concat(a["act"], F.lit("::"), s))))))
 
 
-def _tokens(c: Column) -> Column:
+def name_words(c: Column) -> Column:
+    """A name's words, each once, without those of any station."""
     words = F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s]", " "), r"\s+")
     return F.array_distinct(F.filter(words, lambda t: (t != "") & ~t.isin("ps", "police", "station")))
 
 
-def token_ratio(a: Column, b: Column) -> Column:
-    """Overlap of two names' words in any order; long words that begin alike count nine tenths. 0 if one has none."""
-    x, y = _tokens(a), _tokens(b)
+def words_ratio(a: Column, b: Column) -> Column:
+    """Overlap of two names' words (`name_words`) in any order; long words that begin alike count nine tenths. 0 if one has none."""
 
     def alike(t: Column, o: Column) -> Column:
         short, long_ = F.when(F.length(t) < F.length(o), t).otherwise(o), F.when(F.length(t) < F.length(o), o).otherwise(t)
         return (F.length(t) >= 5) & (F.length(o) >= 5) & F.startswith(long_, F.substring(short, 1, 6))
 
-    shared = F.aggregate(x, F.lit(0.0), lambda acc, t: acc + F.when(F.array_contains(y, t), 1.0).when(F.exists(y, lambda o: alike(t, o)), 0.9).otherwise(0.0))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2 * shared / (F.size(x) + F.size(y)))
+    shared = F.aggregate(a, F.lit(0.0), lambda acc, t: acc + F.when(F.array_contains(b, t), 1.0).when(F.exists(b, lambda o: alike(t, o)), 0.9).otherwise(0.0))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2 * shared / (F.size(a) + F.size(b)))
+
+
+def token_ratio(a: Column, b: Column) -> Column:
+    """The ratio of two names' words."""
+    return once(F.struct(name_words(a).alias("x"), name_words(b).alias("y")), lambda s: words_ratio(s["x"], s["y"]))
 
 
-def name_keys(c: Column) -> Column:
-    """What two names share if their ratio is above 0: whole words, and the first five letters of words that have so many."""
-    words = _tokens(c)
+def name_keys(words: Column) -> Column:
+    """What two names' words share if their ratio is above 0: whole words, and the first five letters of words that have so many."""
     return F.array_distinct(F.concat(F.transform(words, lambda t: F.concat(F.lit("="), t)), F.transform(F.filter(words, lambda t: F.length(t) >= 5), lambda t: F.substring(t, 1, 5))))
 
 
