@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.geo import inside
+from wardline.functions.geo import beside, inside
 from wardline.functions.scalars import haversine_km
 
 #: Steps of points along an edge and sides of the cells that they claim, in degrees.
@@ -63,10 +63,16 @@ def distances(points: DataFrame, cutoff_km: float, most_lat: float = 60.0) -> Da
     return both.filter(F.col("km") <= cutoff_km)
 
 
-def containing(points: DataFrame, areas: DataFrame, grid: float = 0.05) -> DataFrame:
-    """(id, code): the areas that points (id, lat, lon) lie in. An area goes to the cells that its box touches."""
+def containing(points: DataFrame, areas: DataFrame, grid: float = 0.05, border: Column | None = None) -> DataFrame:
+    """(id, code): the areas that points (id, lat, lon) lie in. An area goes to the cells that its box touches.
+
+    On the line of an edge, rounding decides which side a point is on. Where areas are made by a rule of their own, `border`
+    is that rule, of lon, lat and further columns of areas; it says for points on such a line whether they lie inside.
+    """
     corner = lambda f, axis: F.floor(f(F.transform(F.flatten("rings"), lambda p: p[axis])) / grid)
-    spread = areas.select("code", "rings", F.explode(F.sequence(corner(F.array_min, "x"), corner(F.array_max, "x"))).alias("gx"))
-    spread = spread.select("code", "rings", "gx", F.explode(F.sequence(corner(F.array_min, "y"), corner(F.array_max, "y"))).alias("gy"))
+    spread = areas.select("*", F.explode(F.sequence(corner(F.array_min, "x"), corner(F.array_max, "x"))).alias("gx"))
+    spread = spread.select("*", F.explode(F.sequence(corner(F.array_min, "y"), corner(F.array_max, "y"))).alias("gy"))
     at = points.select("id", "lat", "lon", F.floor(F.col("lon") / grid).alias("gx"), F.floor(F.col("lat") / grid).alias("gy"))
-    return at.join(spread, ["gx", "gy"]).filter(inside(F.col("lon"), F.col("lat"), F.col("rings"))).select("id", "code")
+    here = (F.col("lon"), F.col("lat"), F.col("rings"))
+    lies = inside(*here) if border is None else F.when(beside(*here), border).otherwise(inside(*here))
+    return at.join(spread, ["gx", "gy"]).filter(lies).select("id", "code")

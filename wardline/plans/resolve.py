@@ -12,7 +12,7 @@ Pools are numbered by ranges, none in one task, and drawn anchors are joined on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import geo, hashing
@@ -34,13 +34,13 @@ def anchor_pools(anchors: DataFrame, store: Store) -> DataFrame:
     return store.cut(numbered(both, ["code", "kind"], "anchor_id", store), "pools")
 
 
-def resolve(incidents: DataFrame, areas: DataFrame, anchors: DataFrame, store: Store, near: DataFrame | None = None) -> DataFrame:
-    """incident_id, code, premise, origin, method, lat, lon, anchor_id, polygon_verified, pin_eligible: a row for each incident. near: (a, b) pairs of adjacent areas, made if not given."""
+def resolve(incidents: DataFrame, areas: DataFrame, anchors: DataFrame, store: Store, near: DataFrame | None = None, border: Column | None = None) -> DataFrame:
+    """incident_id, code, premise, origin, method, lat, lon, anchor_id, polygon_verified, pin_eligible: a row for each incident. near: (a, b) pairs of adjacent areas, made if not given; border: as `containing` takes it."""
     near = store.cut(adjacency(areas) if near is None else near, "near")
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     usable = geo.usable(F.col("lat"), F.col("lon"))
     rows = store.cut(incidents.select("incident_id", "code", "premise", F.when(usable, F.col("lat")).alias("lat"), F.when(usable, F.col("lon")).alias("lon")), "incidents")
-    hits = containing(rows.filter("lat IS NOT NULL").select(F.col("incident_id").alias("id"), "lat", "lon"), areas)
+    hits = containing(rows.filter("lat IS NOT NULL").select(F.col("incident_id").alias("id"), "lat", "lon"), areas, border=border)
     # Areas may overlap: the own one counts first, else that of the least code.
     lies = hits.withColumnRenamed("code", "there").join(rows.select(F.col("incident_id").alias("id"), "code"), "id")
     lies = lies.groupBy(F.col("id").alias("incident_id"), "code").agg(F.bool_or(F.col("there") == F.col("code")).alias("own"), F.min("there").alias("there"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalogue import _hmac, query
@@ -27,12 +27,23 @@ def _corner(k: str) -> tuple:
     return F.lit(77.37) + F.floor(k / 5) * F.lit(0.09), F.lit(12.72) + (k % 5) * F.lit(0.09)
 
 
-def areas(spark: SparkSession, d: str) -> DataFrame:
+def _shapes(spark: SparkSession, d: str) -> DataFrame:
+    """code, rings and what they are made of: x0, y0, w."""
     x0, y0 = _corner("n_nationkey")
     w = F.element_at(F.array(*map(F.lit, _SIDES)), (F.col("n_nationkey") % 3 + 1).cast("int"))
     corner = lambda a, b: F.struct((x0 + F.lit(a) * w).alias("x"), (y0 + F.lit(b) * w).alias("y"))
     ring = F.array(corner(0.0, 0.0), corner(1.0, 0.0), corner(1.0, 0.6), corner(0.6, 1.0), corner(0.0, 1.0), corner(0.0, 0.0))
-    return table(spark, d, "nation").filter("n_nationkey < 22").select(F.col("n_nationkey").alias("code"), F.array(ring).alias("rings"))
+    return table(spark, d, "nation").filter("n_nationkey < 22").select(F.col("n_nationkey").alias("code"), F.array(ring).alias("rings"), x0.alias("x0"), y0.alias("y0"), w.alias("w"))
+
+
+def areas(spark: SparkSession, d: str) -> DataFrame:
+    return _shapes(spark, d).select("code", "rings")
+
+
+def _lies(x: Column, y: Column) -> Column:
+    """Whether a point lies in a shape, as the SQL says it: a point on the cut corner's side is in or out by the last digit."""
+    x0, y0, w = F.col("x0"), F.col("y0"), F.col("w")
+    return (x >= x0) & (x < x0 + w) & (y >= y0) & (y < y0 + w) & ((x - x0) + (y - y0) < F.lit(1.6) * w)
 
 
 _HEX_KM = f"(lon - 77.35::DOUBLE) * {hexes.KM_EAST!r}::DOUBLE AS kx, (lat - 12.7::DOUBLE) * {hexes.KM_NORTH!r}::DOUBLE AS ky"
@@ -152,7 +163,7 @@ def geo_resolution(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.select(F.col("o_orderkey").alias("incident_id"), F.col("c_nationkey").alias("code"), kind("o_orderkey", 6).alias("premise"), F.when(said, at("src_lat", "o_orderkey", y0, 1.8, 0.4)).alias("lat"), F.when(said, at("src_lon", "o_orderkey", x0, 1.8, 0.4)).alias("lon"))
     anchors = customer.filter(F.col("c_nationkey") != _NO_ANCHORS).select(F.col("c_nationkey").alias("code"), kind("c_custkey", 5).alias("kind"), F.col("c_custkey").alias("anchor_id"), at("anchor_lat", "c_custkey", y0, 1.0, 0.0).alias("lat"), at("anchor_lon", "c_custkey", x0, 1.0, 0.0).alias("lon"))
-    out = store.cut(resolve.resolve(rows, areas(spark, d), anchors, store), "resolved")
+    out = store.cut(resolve.resolve(rows, _shapes(spark, d), anchors, store, border=_lies(F.col("lon"), F.col("lat"))), "resolved")
     store.close(out)
     return out
 
