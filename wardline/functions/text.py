@@ -183,9 +183,22 @@ def token_ratio(a: Column, b: Column) -> Column:
     return once(F.struct(name_words(a).alias("x"), name_words(b).alias("y")), lambda s: words_ratio(s["x"], s["y"]))
 
 
-def name_keys(words: Column) -> Column:
-    """What two names' words share if their ratio is above 0: whole words, and the first five letters of words that have so many."""
-    return F.array_distinct(F.concat(F.transform(words, lambda t: F.concat(F.lit("="), t)), F.transform(F.filter(words, lambda t: F.length(t) >= 5), lambda t: F.substring(t, 1, 5))))
+def name_keys(words: Column, asked: bool) -> Column:
+    """For each of a name's words, what it meets words of other names by: two words count in the ratio if an asked key of one is a given key of the other. A key stands for one share, so names that have it lack none of it."""
+    n = F.length
+    first = lambda kind, k: lambda t: F.concat(F.lit(kind), F.substring(t, 1, k))
+    whole, five, six, short = (lambda t: F.concat(F.lit("="), t)), first("5", 5), first("6", 6), first("f", 5)
+    # Words of five letters are the beginning that a longer one is held to, longer ones are held to six.
+    ways = [(whole, None), (six, lambda t: n(t) >= 6), (short, lambda t: n(t) >= 6), (five, lambda t: n(t) == 5)] if asked else [(whole, None), (six, lambda t: n(t) >= 6), (five, lambda t: n(t) >= 5), (short, lambda t: n(t) == 5)]
+    return F.transform(words, lambda t: F.array_compact(F.array(*[key(t) if fits is None else F.when(fits(t), key(t)) for key, fits in ways])))
+
+
+def key_pairs(keys: Column) -> Column:
+    """Keys of two different words of `name_keys`, each pair in order."""
+    one = lambda w, i: F.transform(w, lambda k: F.struct(i.alias("i"), k.alias("k")))
+    all_ = F.flatten(F.transform(keys, one))
+    later = lambda a, every: F.transform(F.filter(every, lambda b: b["i"] > a["i"]), lambda b: F.concat_ws("|", F.least(a["k"], b["k"]), F.greatest(a["k"], b["k"])))
+    return F.array_distinct(once(all_, lambda every: F.flatten(F.transform(every, lambda a: later(a, every)))))
 
 
 def edit_ratio(a: Column, b: Column) -> Column:

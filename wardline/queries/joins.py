@@ -94,12 +94,19 @@ _PLAIN = "regexp_replace(regexp_replace(replace(translate(lower({}), 'àáâãä
     k AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY ratio DESC, y) AS r FROM r WHERE ratio > 0.35), n AS (SELECT *, {_PLAIN.format("x")} AS p, {_PLAIN.format("y")} AS q FROM k WHERE r <= 3)
     SELECT x, y, floor(ratio * 1e9 + 0.5) / 1e9 AS ratio, floor(CASE WHEN p = '' OR q = '' THEN 0 ELSE 1 - levenshtein(p, q) / greatest(length(p), length(q)) END * 1e9 + 0.5) / 1e9 AS edit FROM n""")
 def join_fuzzy_token_set(spark: SparkSession, d: str) -> DataFrame:
-    """The three vendors whose names are most like a client's. Names meet on a shared word, or on the first five letters of longer ones, which any two that begin alike share."""
-    names = lambda t, c: table(spark, d, t).filter("name IS NOT NULL").select(F.col("name").alias(c)).distinct()
-    keyed = lambda df, c: df.select(c, F.explode(T.name_keys(F.col(c))).alias("key"))
-    pairs = keyed(names("clients", "x"), "x").join(keyed(names("vendors", "y"), "y"), "key").select("x", "y").distinct()
-    scored = pairs.withColumn("ratio", T.token_ratio(F.col("x"), F.col("y"))).filter("ratio > 0.35")
-    best = R.top_per_group(scored, ["x"], [F.col("ratio").desc(), F.col("y")], 3)
+    """The three vendors whose names are most like a client's.
+
+    A vendor that shares one of the client's words ranks behind three that come first among those with the same key and as
+    many words: they share no less. So of each key and number of words three are looked at, and besides all that share two keys.
+    """
+    names = lambda t, c, words: table(spark, d, t).filter("name IS NOT NULL").select(F.col("name").alias(c)).distinct().withColumn(words, T.name_words(F.col(c)))
+    clients, vendors = names("clients", "x", "s"), names("vendors", "y", "t")
+    keyed = lambda df, words, asked, pairs: df.select("*", F.explode((T.key_pairs if pairs else lambda k: F.array_distinct(F.flatten(k)))(T.name_keys(F.col(words), asked))).alias("key"))
+    ways = [R.top_per_group(keyed(vendors, "t", False, False).withColumn("n", F.size("t")), ["key", "n"], [F.col("y")], 3).drop("n"), keyed(vendors, "t", False, True)]
+    met = [keyed(clients, "s", True, pairs).join(given, "key").select("x", "y", T.words_ratio(F.col("s"), F.col("t")).alias("ratio")).filter("ratio > 0.35") for pairs, given in enumerate(ways)]
+    # Pairs that meet by several keys come with the same place.
+    place = F.dense_rank().over(W.partitionBy("x").orderBy(F.col("ratio").desc(), F.col("y")))
+    best = met[0].unionAll(met[1]).withColumn("place", place).filter("place <= 3").dropDuplicates(["x", "y"])
     return best.select("x", "y", half_up(F.col("ratio"), 9).alias("ratio"), half_up(T.edit_ratio(F.col("x"), F.col("y")), 9).alias("edit"))
 
 
